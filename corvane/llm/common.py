@@ -21,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="corvane-checkpoint-")
     sc.setCheckpointDir(named)
