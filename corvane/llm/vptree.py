@@ -209,7 +209,7 @@ def nearest_neighbours(
 
     def other(key, queries: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(frame):
-            return pd.DataFrame({"id": [], "ids": [], "distances": []})
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "distances": pd.Series([], dtype=object)})
         vectors, ids = np.stack(frame["v"].to_list()), frame["id"].to_numpy(np.int64)
         q = np.stack(queries["v"].to_list())
         search = Search(q, k, factor, queries["tau"].to_numpy())
