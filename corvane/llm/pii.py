@@ -84,21 +84,32 @@ PATTERN = re.compile(
       |(?i:\b(?:password|passwd|secret|token|api_?key)["']?[ ]?[=:][ ]?["']?)[A-Za-z0-9]{8,128}(?![A-Za-z0-9]))
     |(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])
+    |(?P<phone>(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])
+      |(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])
       |(?<![\w(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![\w-]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\w]))
     |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<slash>(?<![\w/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![\w/]))
     |(?P<dot>(?<![\w.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![\w]))
-    |(?P<card>(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))
+    |(?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<wide>[ -])[0-9]{6}(?P=wide)[0-9]{4,5})(?![\w]))
     """,
     re.VERBOSE | re.ASCII,
 )
+_KINDS = ("email", "card", "phone", "secret", "ip", "iban", "iso", "ssn", "slash", "dot")
 #: A text without any of these holds nothing that PATTERN finds.
 _HINT = re.compile(r"[0-9@]|AKIA|ASIA|password|passwd|secret|token|api_?key", re.IGNORECASE)
 
 
+_RUN = re.compile(r"[^A-Za-z0-9]*[A-Za-z0-9]+")
+_SEPARATOR = re.compile(r"[ .-]")
+
+
+def _parts(found: str) -> list[str]:
+    """found and its beginnings that end before a separator, the longest first: digits that follow a number may be another."""
+    return [found, *[found[: m.start()] for m in reversed(list(_SEPARATOR.finditer(found)))]]
+
+
 def _date(text: str, order: str) -> datetime.date | None:
     parts = dict(zip(order, map(int, re.split(r"[-/.]", text)), strict=True))
     try:
@@ -148,7 +159,7 @@ class Pseudonymiser:
 
     def card(self, m: str) -> str | None:
         digits = re.sub(r"\D", "", m)
-        if not luhn(digits) or len(set(digits)) == 1:
+        if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
             return None
         new = self._digits("card", digits[:-1], lambda d: len(set(d + luhn_digit(d))) > 1)
         return _refill(m, new + luhn_digit(new))
@@ -236,17 +247,22 @@ class Pseudonymiser:
         """(text with pseudonyms, how many values were replaced)."""
         if not _HINT.search(text):
             return text, 0
-        count = 0
-
-        def one(match: re.Match) -> str:
-            nonlocal count
-            new = getattr(self, match.lastgroup)(match[0])
-            if new is None:
-                return match[0]
+        count, at, done, out = 0, 0, 0, []
+        while match := PATTERN.search(text, at):
+            kind, found = next(k for k in _KINDS if match[k] is not None), match[0]
+            start = match.start()
+            new = None
+            for part in _parts(found) if kind in ("phone", "iban") else (found,):
+                new = getattr(self, kind)(part)
+                if new is not None:
+                    break
+            if new is None:  # behind the first run of letters and digits of a spaced form another value may begin
+                at = start + (_RUN.match(found).end() if kind in ("phone", "iban", "card", "secret") else len(found))
+                continue
+            out += [text[done:start], new]
+            done = at = start + len(part)
             count += 1
-            return new
-
-        return PATTERN.sub(one, text), count
+        return "".join([*out, text[done:]]), count
 
 
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text", count_col: str | None = "n_replaced", forward: bool = True) -> DataFrame:

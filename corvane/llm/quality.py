@@ -2,8 +2,10 @@
 
 One dictionary is trained on good and one on bad labelled text. A text is compressed in blocks of
 ``BLOCK`` bytes under both; blocks keep a long text from becoming its own dictionary. The difference
-of the two totals, divided by the bytes of the text, is the evidence; a logistic curve fitted on other
-labelled documents than those in the dictionaries turns it into a probability that the text is good.
+of the two totals, divided by the bytes of the text, is the evidence. A logistic curve, fitted on other
+labelled documents than those in the dictionaries and weighted by the shares of the two classes among all
+labels, turns it into a probability that the text is good. The curve also has the smaller total by the bytes
+of the text: repetitive junk is small under both dictionaries, so its difference by the byte says little.
 
 Only the fit works on a sample: the ``TRAIN`` and ``CALIBRATE`` labelled documents of either class with
 the smallest hashed ids. Scoring covers every document from its first byte to its last.
@@ -28,8 +30,8 @@ from corvane.llm import common
 TRAIN, CALIBRATE = 1500, 1500
 #: Bytes of a dictionary and of a block, and the compression level.
 DICTIONARY, BLOCK, LEVEL = 112640, 4096, 3
-#: Documents are rejected below this probability; less than a half, as a good document lost costs more than a bad one kept.
-KEEP = 0.2
+#: Documents are rejected below this probability.
+KEEP = 0.5
 
 
 def _blocks(text: bytes) -> list[bytes]:
@@ -38,11 +40,12 @@ def _blocks(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the slope and intercept of the curve."""
+    """Two dictionaries and the curve: a slope for the difference, one for the ratio, and the intercept."""
 
     good: bytes
     bad: bytes
-    slope: float = 1.0
+    slope: float = 200.0
+    ratio_slope: float = 0.0
     intercept: float = 0.0
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
@@ -54,17 +57,20 @@ class Model:
 
         return one(self.good), one(self.bad)
 
-    def probability(self, difference: float) -> float:
-        z = self.slope * difference + self.intercept
+    def probability(self, difference: float, ratio: float) -> float:
+        z = self.slope * difference + self.ratio_slope * ratio + self.intercept
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def difference(text: str, good, bad) -> float | None:
-    """(bytes under the bad dictionary - bytes under the good one) / bytes; None for a text without bytes."""
+def measure(text: str, good, bad) -> tuple[float, float] | None:
+    """(difference, ratio): bytes under the bad dictionary less bytes under the good one, and the smaller of the two,
+    both by the bytes of the text; None for a text without bytes."""
     raw = text.encode("utf-8", "replace")
     if not raw:
         return None
-    return sum(len(bad.compress(b)) - len(good.compress(b)) for b in _blocks(raw)) / len(raw)
+    blocks = _blocks(raw)
+    under_good, under_bad = sum(len(good.compress(b)) for b in blocks), sum(len(bad.compress(b)) for b in blocks)
+    return (under_bad - under_good) / len(raw), min(under_good, under_bad) / len(raw)
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -75,12 +81,11 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(samples)[-DICTIONARY:] or b"\0" * 16
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's method with a small ridge, on classes of equal weight."""
-    scale = x.std() or 1.0
+def _logistic(x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and intercept, by Newton's method with a small ridge."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     design = np.c_[x / scale, np.ones(len(x))]
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * len(y)
-    beta, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
+    beta, ridge = np.zeros(design.shape[1]), np.diag([1e-2] * x.shape[1] + [1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + ridge
@@ -88,17 +93,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return np.r_[beta[:-1] / scale, beta[-1]]
 
 
-def fit_texts(good: list[str], bad: list[str], good_held: list[str], bad_held: list[str]) -> Model:
+def fit_texts(good: list[str], bad: list[str], good_held: list[str], bad_held: list[str], good_share: float = 0.5) -> Model:
     model = Model(_dictionary(good), _dictionary(bad))
     pair = model.compressors()
-    found = [(difference(t, *pair), y) for y, texts in ((1, good_held), (0, bad_held)) for t in texts]
-    x = np.array([d for d, _ in found if d is not None])
-    y = np.array([c for d, c in found if d is not None])
-    slope, intercept = _logistic(x, y) if len(set(y.tolist())) == 2 else (200.0, 0.0)
-    return Model(model.good, model.bad, slope, intercept)
+    found = [(m, y) for y, texts in ((1, good_held), (0, bad_held)) for t in texts if (m := measure(t, *pair)) is not None]
+    y = np.array([c for _, c in found])
+    if len(set(y.tolist())) < 2:
+        return model
+    share = np.where(y == 1, good_share / (y == 1).sum(), (1 - good_share) / (y == 0).sum()) * len(y)
+    return Model(model.good, model.bad, *map(float, _logistic(np.array([m for m, _ in found]), share, y)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE) -> Model | None:
@@ -119,40 +125,43 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int =
         return None
     # with few labels half of each class is held out, and a lone document serves for both
     cut = {q: min(train, max(1, len(by[q]) // 2)) for q in (0, 1)}
-    return fit_texts(by[1][: cut[1]], by[0][: cut[0]], by[1][cut[1] :] or by[1], by[0][cut[0] :] or by[0])
+    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
+    share = counts[1] / (counts[0] + counts[1])
+    return fit_texts(by[1][: cut[1]], by[0][: cut[0]], by[1][cut[1] :] or by[1], by[0][cut[0] :] or by[0], share)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """docs packed as (row, difference, score, keep).
+    """docs packed as (row, difference, ratio, score, keep).
 
-    Null and empty texts, and all texts when there is no model, can't be judged: difference and score are
-    null and keep is true.
+    Null and empty texts, and all texts when there is no model, can't be judged: difference, ratio and score
+    are null and keep is true.
     """
     packed = docs.select(common.pack(docs).alias("row"), common.col(text_col).alias("text"))
     if model is None:
-        return packed.select(
-            "row", F.lit(None).cast("double").alias("difference"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("keep"))
+        none = [F.lit(None).cast("double").alias(c) for c in ("difference", "ratio", "score")]
+        return packed.select("row", *none, F.lit(True).alias("keep"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pair = shared.value, shared.value.compressors()
         for batch in batches:
-            found = [None if t is None else difference(t, *pair) for t in batch.column("text").to_pylist()]
-            rated = [None if d is None else model.probability(d) for d in found]
+            found = [None if t is None else measure(t, *pair) for t in batch.column("text").to_pylist()]
+            rated = [None if m is None else model.probability(*m) for m in found]
+            columns = [[m and m[0] for m in found], [m and m[1] for m in found], rated]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(found, pa.float64()), pa.array(rated, pa.float64()), pa.array([p is None or p >= keep for p in rated])],
-                names=["row", "difference", "score", "keep"],
+                [batch.column("row"), *[pa.array(c, pa.float64()) for c in columns], pa.array([p is None or p >= keep for p in rated], pa.bool_())],
+                names=["row", "difference", "ratio", "score", "keep"],
             )
 
     schema = T.StructType([
-        packed.schema["row"], T.StructField("difference", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
+        packed.schema["row"], *[T.StructField(c, T.DoubleType()) for c in ("difference", "ratio", "score")], T.StructField("keep", T.BooleanType())])
     return packed.mapInArrow(scored, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE, keep: float = KEEP) -> DataFrame:
-    """(doc_id, difference, score, keep) of every row of docs, repeated rows included."""
+    """(doc_id, difference, ratio, score, keep) of every row of docs, repeated rows included."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return score(narrow, fit(docs, labels, train, calibrate), "text", keep).select("row.doc_id", "difference", "score", "keep")
+    return score(narrow, fit(docs, labels, train, calibrate), "text", keep).select("row.doc_id", "difference", "ratio", "score", "keep")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE, keep: float = KEEP) -> DataFrame:
