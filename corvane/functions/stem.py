@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 _STEP2 = dict(
     x.split(":")
@@ -81,6 +82,6 @@ def porter(word: str) -> str:
     return word
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")
