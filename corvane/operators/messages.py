@@ -31,11 +31,14 @@ def extraction(raw: Column) -> Column:
     inner = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
     text = F.when(F.try_parse_json(raw).isNotNull() & F.trim(raw).startswith("{"), raw).otherwise(F.nullif(inner, F.lit("")))
 
+    whole = F.try_parse_json(text)
+
     def one(name: str) -> Column:
-        value = F.get_json_object(text, f"$.{name}")
-        listed = F.filter(F.from_json(value, "array<string>"), lambda v: v.isNotNull() & (v != ""))
-        single = F.when((F.length(value) > 0) & ~value.rlike(r"^[\[{]"), F.array(value))
-        return F.coalesce(F.when(value.startswith("["), listed), single, F.array().cast("array<string>")).alias(name)
+        value = F.try_variant_get(whole, f"$.{name}", "variant")
+        kind = F.schema_of_variant(value)
+        listed = F.filter(F.try_variant_get(whole, f"$.{name}", "array<string>"), lambda v: v.isNotNull() & (v != ""))
+        single = F.try_variant_get(whole, f"$.{name}", "string")
+        return F.coalesce(F.when(kind.startswith("ARRAY"), listed), F.when((kind == "STRING") & (single != ""), F.array(single)), F.array().cast("array<string>")).alias(name)
 
     return F.struct(*[one(n) for n in FIELDS])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.config import Config
 from corvane.functions import text as T
 from corvane.operators import fulltext, fusion, graph, lookups, vectors
+from corvane.plans.lineage import cut
 from corvane.plans.plugins import Embedder, HashEmbedder, OverlapReranker, Reranker
 
 QUALITIES = ("fast", "balanced", "thorough")
@@ -66,7 +67,8 @@ def graph_channel(index: Index, seeds: DataFrame, config: Config) -> DataFrame:
 
 def entity_channel(index: Index, seeds: DataFrame, config: Config) -> DataFrame:
     start = lookups.seed_entities(seeds.select("query_id", F.col("doc_id").alias("chunk_id"), "rank"), index.symbols, index.chunks)
-    edges = graph.collapse(index.entity_edges).withColumn("edge_ord", F.xxhash64("from_key", "to_key"))
+    start = cut(start)
+    edges = cut(graph.collapse(index.entity_edges)).withColumn("edge_ord", F.xxhash64("from_key", "to_key"))
     reached = graph.scored_search(start.select("query_id", F.col("key").alias("node"), F.col("ord").alias("seed_ord")), edges, config.entity_depth)
     e = F.col("e")
     parts = reached.withColumn("e", T.entity_of_key(F.col("node"))).filter("e is not null").select(
@@ -95,9 +97,11 @@ def search(index: Index, queries: DataFrame, config: Config = Config(), quality:
     if quality != "fast" and index.vectors is not None:
         lists = lists.unionByName(vector_channel(index, wide, config, coarse_only=quality == "balanced"))
     if quality == "thorough" and index.symbols is not None:
+        lists = cut(lists)  # seeds, both graphs and the fusion use what has been found so far
         if index.refs is not None:
             lists = lists.unionByName(graph_channel(index, fusion.seeds(lists, config.max_seeds, config.seed_mode), config))
         if index.entity_edges is not None:
+            lists = cut(lists)
             lists = lists.unionByName(entity_channel(index, fusion.seeds(lists, config.max_seeds, config.seed_mode), config))
     weights = intents.join(fusion.adaptive_weights(queries.sparkSession), "intent").select("query_id", "source", "weight")
     fused = fusion.rrf(lists, weights, config.fusion_k)

@@ -54,7 +54,7 @@ def find_files(spark, sf_dir):
 _LINES = "ls AS (SELECT path, content, string_split(content, chr(10)) AS l FROM files), lines AS (SELECT path, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM ls)"
 
 
-@query(f"WITH {_LINES} SELECT path, CAST(line AS INT) AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS at FROM lines WHERE regexp_matches(text, '[0-9]{{3}}[-.][0-9]{{3,4}}')) WHERE at <= 50", ("files",))
+@query(f"WITH {_LINES} SELECT path, CAST(line AS INT) AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS at_ FROM lines WHERE regexp_matches(text, '[0-9]{{3}}[-.][0-9]{{3,4}}')) WHERE at_ <= 50", ("files",))
 def regex_lines(spark, sf_dir):
     return op.regex_lines(_files(spark, sf_dir), "[0-9]{3}[-.][0-9]{3,4}")
 
@@ -179,7 +179,7 @@ def greedy_pack(spark, sf_dir):
 @query(f"""WITH {_LINES}, rx AS (SELECT 'q' AS query_id, path, CAST(line AS INT) AS line, row_number() OVER (ORDER BY path, line) AS rank FROM lines WHERE contains(text, '@')),
 se AS (SELECT 'q' AS query_id, path, 1 AS line, row_number() OVER (ORDER BY size DESC, path) AS rank FROM files),
 b AS (SELECT *, 0 AS prio FROM se UNION ALL SELECT *, 1 FROM rx), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY prio, rank) AS dup FROM b) WHERE dup = 1)
-SELECT path, line, prio, CAST(at AS INT) AS at FROM (SELECT *, row_number() OVER (ORDER BY prio, rank, path, line) AS at FROM k) WHERE at <= 10""", ("files",))
+SELECT path, line, prio, CAST(at_ AS INT) AS place FROM (SELECT *, row_number() OVER (ORDER BY prio, rank, path, line) AS at_ FROM k) WHERE at_ <= 10""", ("files",))
 def merge_semantic_regex(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -188,4 +188,4 @@ def merge_semantic_regex(spark, sf_dir):
     f = _files(spark, sf_dir)
     regex = op.regex_lines(f, "@", 1_000_000).withColumn("query_id", F.lit("q")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("path", "line")))
     semantic = f.select(F.lit("q").alias("query_id"), "path", F.lit(1).alias("line"), "size").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("size"), "path")))
-    return lookups.merge_results(semantic, regex).select("path", "line", "prio", "at")
+    return lookups.merge_results(semantic, regex).select("path", "line", "prio", F.col("at").alias("place"))

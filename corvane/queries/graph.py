@@ -140,7 +140,7 @@ def bfs_reach(spark, sf_dir):
     return op.reach(relation(spark, sf_dir, "regions"), relation(spark, sf_dir, "entity_edges"), 3)
 
 
-@query(f"WITH {_REACH} SELECT start, path, node, depth FROM (SELECT start, left(node, 1) AS path, node, depth, row_number() OVER (PARTITION BY start, left(node, 1) ORDER BY depth, node) AS at FROM reached) WHERE at = 1", ("entity_edges", "regions"))
+@query(f"WITH {_REACH} SELECT start, path, node, depth FROM (SELECT start, left(node, 1) AS path, node, depth, row_number() OVER (PARTITION BY start, left(node, 1) ORDER BY depth, node) AS at_ FROM reached) WHERE at_ = 1", ("entity_edges", "regions"))
 def related_files(spark, sf_dir):
     return op.related_files(op.reach(relation(spark, sf_dir, "regions"), relation(spark, sf_dir, "entity_edges"), 3), F.substring("node", 1, 1))
 
@@ -175,9 +175,9 @@ _FILES = "f AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id
 
 
 @query(f"""WITH {_FILES}, e AS (SELECT from_key, to_key, sum(weight) AS weight FROM entity_edges GROUP BY ALL),
-m AS (SELECT query_id, path, rank, to_key, row_number() OVER (PARTITION BY query_id, path ORDER BY weight DESC, to_key) AS at FROM f JOIN e ON path = from_key WHERE rank <= 8),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, at) AS al FROM m WHERE at <= 5),
-s AS (SELECT query_id, rank, concat('[', path, ']', chr(10), string_agg(concat('  part: ', to_key, ' :: ', to_key), chr(10) ORDER BY at)) AS t FROM k WHERE al <= 20 GROUP BY query_id, rank, path)
+m AS (SELECT query_id, path, rank, to_key, row_number() OVER (PARTITION BY query_id, path ORDER BY weight DESC, to_key) AS at_ FROM f JOIN e ON path = from_key WHERE rank <= 8),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, at_) AS al FROM m WHERE at_ <= 5),
+s AS (SELECT query_id, rank, concat('[', path, ']', chr(10), string_agg(concat('  part: ', to_key, ' :: ', to_key), chr(10) ORDER BY at_)) AS t FROM k WHERE al <= 20 GROUP BY query_id, rank, path)
 SELECT query_id, string_agg(t, chr(10) ORDER BY rank) AS context FROM s GROUP BY query_id""", ("entity_edges",))
 def graph_context(spark, sf_dir):
     edges = op.collapse(relation(spark, sf_dir, "entity_edges")).select(
@@ -200,7 +200,7 @@ def cooccur_neighbors(spark, sf_dir):
 
 # ---------------------------------------------------------------- range joins and vocabulary
 
-_SPANS = "pt AS (SELECT event_id, concat('u', user_id) AS path, CAST(epoch(ts) // 60 AS BIGINT) AS line FROM events), sp AS (SELECT concat('e', event_id) AS name, path, line AS start_line, line + 1 + CAST(floor(value) AS BIGINT) AS end_line, event_id AS ord FROM pt JOIN events USING (event_id))"
+_SPANS = "pt AS (SELECT event_id, concat('u', user_id) AS path, CAST(floor(epoch(ts) / 60) AS BIGINT) AS line FROM events), sp AS (SELECT concat('e', event_id) AS name, path, line AS start_line, line + 1 + CAST(floor(value) AS BIGINT) AS end_line, event_id AS ord FROM pt JOIN events USING (event_id))"
 
 
 def _spans(spark, sf_dir):
@@ -244,10 +244,10 @@ def vocab_build(spark, sf_dir):
     return lookups.vocabulary(relation(spark, sf_dir, "symbols"), relation(spark, sf_dir, "page_files"))
 
 
-@query("SELECT query_id, path, doc_id, score, CAST(at AS INT) AS at FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS at FROM (SELECT query_id, concat(path, '/d') AS path, doc_id, score, rank FROM results) WHERE rank <= 30 AND starts_with(path, 'src3/')) WHERE at <= 10", ("results",))
+@query("SELECT query_id, path, doc_id, score, CAST(at_ AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS at_ FROM (SELECT query_id, concat(path, '/d') AS path, doc_id, score, rank FROM results) WHERE rank <= 30 AND starts_with(path, 'src3/')) WHERE at_ <= 10", ("results",))
 def scope_filter(spark, sf_dir):
     results = relation(spark, sf_dir, "results").withColumn("path", F.concat("path", F.lit("/d")))
-    return lookups.scope_filter(results, "src3").select("query_id", "path", "doc_id", "score", "at")
+    return lookups.scope_filter(results, "src3").select("query_id", "path", "doc_id", "score", F.col("at").alias("place"))
 
 
 @query("""WITH names AS (SELECT query_id, unnest(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM graph_queries),

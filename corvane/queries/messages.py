@@ -88,7 +88,7 @@ def hybrid_merge_fill(spark, sf_dir):
     return lookups.merge_fill(*_found(spark, sf_dir))
 
 
-@query("SELECT query_id, CAST(task AS INT) AS task, ord, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY task, ord) AS at FROM (SELECT lang AS query_id, n_chars % 3 AS task, doc_id AS ord, source AS path, n_chars::DOUBLE AS score FROM documents)) WHERE at = 1")
+@query("SELECT query_id, CAST(task AS INT) AS task, ord, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY task, ord) AS at_ FROM (SELECT lang AS query_id, n_chars % 3 AS task, doc_id AS ord, source AS path, n_chars::DOUBLE AS score FROM documents)) WHERE at_ = 1")
 def fanout_dedupe(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), (F.col("n_chars") % 3).cast("int").alias("task"), F.col("doc_id").alias("ord"), F.col("source").alias("path"), F.col("n_chars").cast("double").alias("score"))
     return lookups.fanout_dedupe(rows)
