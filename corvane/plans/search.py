@@ -55,10 +55,10 @@ def symbol_channel(index: Index, queries: DataFrame, config: Config) -> DataFram
 
 def graph_channel(index: Index, seeds: DataFrame, config: Config) -> DataFrame:
     """Chunks that references connect to the symbols of the seed chunks; seeds themselves left out."""
-    edges = graph.edge_chunks(index.refs, index.symbols)
+    edges = cut(graph.edge_chunks(index.refs, index.symbols).select("from_name", "to_name", "from_chunk", "to_chunk", "ref_kind"))
     named = seeds.select("query_id", F.col("doc_id").alias("chunk_id"), "rank").join(index.symbols.select("chunk_id", "id", "name"), "chunk_id")
     first = fusion.first_by(named, ["query_id", "name"], ["rank", "id"]).select("query_id", F.col("id").alias("symbol_id"), "name", "chunk_id")
-    found = graph.traverse(first, edges, None, exclude_seeds=True)
+    found = cut(graph.traverse(cut(first), edges, None, exclude_seeds=True))
     if config.expand_hops:
         found = graph.one_hop(found, edges, index.symbols)
     found = found.join(seeds.select("query_id", F.col("doc_id").alias("chunk_id")), ["query_id", "chunk_id"], "left_anti")
@@ -69,7 +69,7 @@ def entity_channel(index: Index, seeds: DataFrame, config: Config) -> DataFrame:
     start = lookups.seed_entities(seeds.select("query_id", F.col("doc_id").alias("chunk_id"), "rank"), index.symbols, index.chunks)
     start = cut(start)
     edges = cut(graph.collapse(index.entity_edges)).withColumn("edge_ord", F.xxhash64("from_key", "to_key"))
-    reached = graph.scored_search(start.select("query_id", F.col("key").alias("node"), F.col("ord").alias("seed_ord")), edges, config.entity_depth)
+    reached = cut(graph.scored_search(start.select("query_id", F.col("key").alias("node"), F.col("ord").alias("seed_ord")), edges, config.entity_depth))
     e = F.col("e")
     parts = reached.withColumn("e", T.entity_of_key(F.col("node"))).filter("e is not null").select(
         F.col("node").alias("entity_id"), e["file_path"].alias("file_path"), e["kind"].alias("kind"), e["symbol_name"].alias("symbol_name"), e["start_line"].alias("start_line"), e["end_line"].alias("end_line")).distinct()
@@ -99,10 +99,10 @@ def search(index: Index, queries: DataFrame, config: Config = Config(), quality:
     if quality == "thorough" and index.symbols is not None:
         lists = cut(lists)  # seeds, both graphs and the fusion use what has been found so far
         if index.refs is not None:
-            lists = lists.unionByName(graph_channel(index, fusion.seeds(lists, config.max_seeds, config.seed_mode), config))
+            lists = lists.unionByName(graph_channel(index, cut(fusion.seeds(lists, config.max_seeds, config.seed_mode)), config))
         if index.entity_edges is not None:
             lists = cut(lists)
-            lists = lists.unionByName(entity_channel(index, fusion.seeds(lists, config.max_seeds, config.seed_mode), config))
+            lists = lists.unionByName(entity_channel(index, cut(fusion.seeds(lists, config.max_seeds, config.seed_mode)), config))
     weights = intents.join(fusion.adaptive_weights(queries.sparkSession), "intent").select("query_id", "source", "weight")
     fused = fusion.rrf(lists, weights, config.fusion_k)
     if index.tombstones is not None:
