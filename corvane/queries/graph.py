@@ -223,7 +223,7 @@ def range_overlap(spark, sf_dir):
     return lookups.overlaps(ranges, spans).groupBy("range_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT o_orderpriority AS path, o_orderstatus AS st, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus) AS INT) AS ix, count(*) AS n FROM orders GROUP BY ALL),
+@query("""WITH c AS (SELECT o_orderpriority AS path, o_orderstatus AS st, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus) AS INT) AS ix FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders)),
 ch AS (SELECT path, ix, concat(path, ix) AS chunk_id, (ix - 1) * 20 + 1 AS s, ix * 20 + 5 AS e FROM c),
 sy AS (SELECT o_orderkey AS ord, o_orderpriority AS path, CAST(floor(o_totalprice / 5000) AS INT) + 1 AS start_line FROM orders)
 SELECT sy.ord, sy.path, sy.start_line, coalesce(arg_min(chunk_id, ix) FILTER (start_line BETWEEN s AND e), arg_max(chunk_id, ix)) AS chunk_id FROM sy JOIN ch USING (path) GROUP BY ALL""")

@@ -60,7 +60,7 @@ def compact(spark, sf_dir):
     return op.compact(relation(spark, sf_dir, "file_chunks"), relation(spark, sf_dir, "tombstones")).select("path", "chunk_id")
 
 
-@query("SELECT path, change_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS at FROM file_events) WHERE at = 1", ("file_events",))
+@query("SELECT path, change_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS at_ FROM file_events) WHERE at_ = 1", ("file_events",))
 def upsert_latest(spark, sf_dir):
     e = relation(spark, sf_dir, "file_events")
     return op.upsert_latest(e.filter("change_type = 'created'"), e.filter("change_type <> 'created'"), ["path"], [F.desc("ts"), F.desc("event_id")]).select("path", "change_type", "event_id")
