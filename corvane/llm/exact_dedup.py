@@ -98,8 +98,8 @@ def drop_duplicates(
 DUPLICATES_SQL = """
 SELECT doc_id, kept_id, n, sha256(text) AS full_hash FROM (
   SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n,
-         row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS at,
+         row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS place,
          first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS kept_id
   FROM documents WHERE text IS NOT NULL)
-WHERE at > 1
+WHERE place > 1
 """
