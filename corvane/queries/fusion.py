@@ -85,7 +85,7 @@ def shard_rrf(spark, sf_dir):
 @query(r"""WITH asked AS (SELECT query_id, query, list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS a FROM queries)
 SELECT query_id, chunk_id, round(len(list_intersect(a, regexp_extract_all(lower(content), '[\p{L}\p{N}]+'))) / len(a), 6) AS score FROM asked, chunks WHERE contains(content, query)""", ("queries", "chunks"))
 def overlap_rerank(spark, sf_dir):
-    """Pairs are the documents that quote a passage whole; they meet by the passage's first words, then are verified."""
+    """Pairs are the documents that quote a passage whole: a nested loop of the small query batch against the corpus."""
     q, c = relation(spark, sf_dir, "queries"), relation(spark, sf_dir, "chunks")
     met = c.crossJoin(F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q).filter(F.contains("content", "query"))
     return met.select("query_id", "chunk_id", F.round(op.overlap(F.col("query"), F.col("content")), 6).alias("score"))
