@@ -4,7 +4,7 @@ A document's signature has ``bits`` bits, the signs of a random projection of it
 of letters and digits; weight: square root of the count). It is cut into ``segments`` pieces, few enough
 that two signatures which differ in at most ``2 * segments - 1`` bits have some piece that differs by at
 most one bit. Every piece is indexed once as it is and once for each of its bits with that bit deleted;
-the entries of two documents meet in one equality join:
+the entries of two documents meet by equality:
 
 * pieces that are equal meet at the undeleted entry;
 * pieces that differ in exactly one bit meet at the entry with just that bit deleted, where one side
@@ -109,39 +109,134 @@ def _take(high: Column, low: Column, start: int, stop: int) -> Column:
     return F.shiftleft(upper, stop - 64).bitwiseOR(F.shiftrightunsigned(low, 128 - stop))
 
 
-def _entries(segments: int, side: int) -> Column:
-    """Index entries of a signature for one side of the join: the undeleted pieces, and of each bit that
-    equals ``side`` the piece with that bit deleted.
+def _halves(segments: int) -> list[tuple[int, int, int]]:
+    """(start, middle, stop) of every segment."""
+    ranges = [_bit_range(s, segments) for s in range(segments)]
+    return [(start, (start + stop) // 2, stop) for start, stop in ranges]
 
-    A key holds the segment, the deleted position (63: none) and the piece with the deleted bit cleared.
+
+def _near(high: np.ndarray, low: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, max_distance: int, min_ratio: float) -> np.ndarray:
+    """Whether signatures a and b (indexes) are within max_distance and their word counts within min_ratio."""
+    bits = np.bitwise_count(high[a] ^ high[b]).astype(np.int16) + np.bitwise_count(low[a] ^ low[b])
+    return (bits <= max_distance) & (np.minimum(n[a], n[b]) >= min_ratio * np.maximum(n[a], n[b]))
+
+
+def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index of every node's component."""
+    root = np.arange(nodes)
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while not (root[root] == root).all():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+#: Buckets of up to so many signatures are compared pair by pair, all buckets at once.
+_SMALL = 64
+
+
+def _links(g: np.ndarray, other: np.ndarray, width: np.ndarray, high: np.ndarray, low: np.ndarray, n: np.ndarray, max_distance: int, min_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect just those of the signatures that verified pairs of the same variant bucket connect.
+
+    A bucket holds the signatures with one g and one value of the other half but for a deleted bit. Small buckets are
+    compared pair by pair. In large ones a breadth-first search compares each newly reached signature with those not
+    yet reached only, so a bucket of many near copies costs little more than its size, and no pair is left undecided.
+    """
+    found_a, found_b = [], []
+    for bit in range(int(width.max())):
+        rows = np.flatnonzero(width > bit)
+        rest = other[rows] & ~np.int64(1 << bit)
+        order = np.lexsort((rest, g[rows]))
+        rows, key_g, key_rest = rows[order], g[rows][order], rest[order]
+        head = np.flatnonzero(np.r_[True, (key_g[1:] != key_g[:-1]) | (key_rest[1:] != key_rest[:-1])])
+        size = np.diff(np.r_[head, len(rows)])
+        bucket = np.repeat(np.arange(len(head)), size)
+        small = np.flatnonzero((size > 1)[bucket] & (size <= _SMALL)[bucket])
+        for step in range(1, _SMALL):
+            if len(small) <= step:
+                break
+            x, y = small[:-step], small[step:]
+            same = bucket[x] == bucket[y]
+            if not same.any():
+                break
+            x, y = rows[x[same]], rows[y[same]]
+            ok = _near(high, low, n, x, y, max_distance, min_ratio)
+            found_a.append(x[ok])
+            found_b.append(y[ok])
+        for k in np.flatnonzero(size > _SMALL):
+            left = rows[head[k] : head[k] + size[k]]
+            reached: list[int] = []
+            while len(left):
+                if not reached:
+                    reached, left = [int(left[0])], left[1:]
+                at = reached.pop()
+                ok = _near(high, low, n, np.full(len(left), at), left, max_distance, min_ratio)
+                found_a.append(np.full(int(ok.sum()), at))
+                found_b.append(left[ok])
+                reached += left[ok].tolist()
+                left = left[~ok]
+    if not found_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+#: Rows of complete groups that are searched at once.
+_CHUNK = 100_000
+
+
+def near_links(nodes: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """(a, b): edges whose connected components are those of all pairs of nodes (rep, n, high, low) that share a variant,
+    have signatures within max_distance and word counts within min_ratio.
+
+    Two pieces that differ in at most one bit agree in one of their halves. So a signature is sent once for each half
+    of each piece, to where all with the same half meet, and its variants (one bit of the other half deleted) are made
+    and matched there: 2 * segments rows are exchanged for a signature instead of all its variants. What comes back is
+    a spanning forest, so a group of thousands of near copies gives as many edges and not as many as it has pairs.
     """
-    out = []
-    for s in range(segments):
-        start, stop = _bit_range(s, segments)
-        piece, width = _take(F.col("high"), F.col("low"), start, stop), stop - start
-        if width > 50:
-            raise ValueError("segments of more than 50 bits don't fit the key; use more segments")
-        out.append(F.lit((s << 6 | 63) << 50).bitwiseOR(piece))
-        for j in range(width):
-            bit = F.shiftrightunsigned(piece, j).bitwiseAND(F.lit(1))
-            rest = F.lit((s << 6 | j) << 50).bitwiseOR(piece.bitwiseAND(F.lit(~(1 << j))))
-            out.append(F.when(bit == side, rest))
-    return F.explode(F.filter(F.array(*out), lambda key: key.isNotNull()))
-
-
-def near_pairs(distinct: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a_high, a_low, b_high, b_low): each pair of distinct signatures within max_distance once, in one order or the other."""
-    a = distinct.select(F.col("high").alias("a_high"), F.col("low").alias("a_low"), _entries(segments, 0).alias("key"))
-    b = distinct.select(F.col("high").alias("b_high"), F.col("low").alias("b_low"), _entries(segments, 1).alias("key"))
-    distance = F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) + F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")))
-    ordered = (F.col("a_high") < F.col("b_high")) | ((F.col("a_high") == F.col("b_high")) & (F.col("a_low") < F.col("b_low")))
-    deleted = F.shiftrightunsigned(F.col("key"), 50).bitwiseAND(F.lit(63)) != 63
-    met = a.join(b, "key").filter((deleted | ordered) & distance.between(1, max_distance))
-    swap = ~ordered
-    return met.select(
-        *[F.when(swap, F.col(f"b_{x}")).otherwise(F.col(f"a_{x}")).alias(f"a_{x}") for x in ("high", "low")],
-        *[F.when(swap, F.col(f"a_{x}")).otherwise(F.col(f"b_{x}")).alias(f"b_{x}") for x in ("high", "low")],
-    ).distinct()
+    high, low = F.col("high"), F.col("low")
+    sent = []
+    for s, (start, middle, stop) in enumerate(_halves(segments)):
+        for half, (kept, other) in enumerate((((start, middle), (middle, stop)), ((middle, stop), (start, middle)))):
+            g = F.lit((2 * s + half) << 40).bitwiseOR(_take(high, low, *kept))
+            sent.append(F.struct(g.alias("g"), _take(high, low, *other).alias("other"), F.lit(other[1] - other[0]).alias("width")))
+    each = nodes.select("rep", "n", "high", "low", F.explode(F.array(*sent)).alias("e")).select("e.*", "rep", "n", "high", "low")
+    names = ("g", "other", "width", "rep", "n", "high", "low")
+
+    def search(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        c = {k: np.concatenate([h[k] for h in held]) for k in names}
+        # a signature comes several times: its node is one
+        rep, node = np.unique(c["rep"], return_inverse=True)
+        a, b = _links(c["g"], c["other"], c["width"], c["high"].view(np.uint64), c["low"].view(np.uint64), c["n"], max_distance, min_ratio)
+        root = _forest(len(rep), node[a], node[b])
+        linked = np.flatnonzero(root != np.arange(len(rep)))
+        return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            if size >= _CHUNK:
+                # the last group may go on in this batch
+                goes_on = int(np.searchsorted(columns["g"], held[-1]["g"][-1], side="right"))
+                held.append({k: v[:goes_on] for k, v in columns.items()})
+                columns = {k: v[goes_on:] for k, v in columns.items()}
+                if goes_on == batch.num_rows:
+                    size += goes_on
+                    continue
+                yield search(held)
+                held, size = [], 0
+            held.append(columns)
+            size += len(columns["g"])
+        if held:
+            yield search(held)
+
+    return each.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -185,11 +280,7 @@ def near_duplicates(
     nodes = signed.groupBy("high", "low").agg(F.min(F.struct("doc_id", "n_words")).alias("m")).select(
         "high", "low", F.col("m.doc_id").alias("rep"), F.col("m.n_words").alias("n"))
     nodes = common.checkpoint(nodes)
-    pairs = near_pairs(nodes.select("high", "low"), segments, max_distance)
-    for x in ("a", "b"):
-        pairs = pairs.join(nodes.toDF(f"{x}_high", f"{x}_low", x, f"{x}_n"), [f"{x}_high", f"{x}_low"])
-    close = F.least("a_n", "b_n") >= F.lit(min_ratio) * F.greatest("a_n", "b_n")
-    roots = components(pairs.filter(close).select("a", "b"))
+    roots = components(near_links(nodes, segments, max_distance, min_ratio))
     # a component's smallest representative is its smallest document, as a representative is its signature's smallest
     kept = nodes.select("rep", F.col("high").alias("kept_high"), F.col("low").alias("kept_low"))
     member = nodes.join(roots, nodes.rep == roots.node, "left").select("high", "low", F.coalesce("root", "rep").alias("kept_id"))

@@ -358,7 +358,7 @@ def test_decode_unknown_and_split_characters(spark):
 # ---------------------------------------------------------------- 9 SimHash
 
 
-def test_near_pairs_against_brute_force(spark):
+def test_near_links_against_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, (60, 2), dtype=np.int64)
     rows = {tuple(map(int, x)) for x in base}
@@ -371,8 +371,36 @@ def test_near_pairs_against_brute_force(spark):
     bits = lambda a, b: sum(bin((u ^ v) & (2**64 - 1)).count("1") for u, v in zip(a, b, strict=True))
     limit = 2 * simhash.SEGMENTS - 1
     want = {tuple(sorted((a, b))) for a, b in itertools.combinations(rows, 2) if bits(a, b) <= limit}
-    got = simhash.near_pairs(spark.createDataFrame(list(rows), "high long, low long"), max_distance=limit).collect()
-    assert {tuple(sorted(((r[0], r[1]), (r[2], r[3])))) for r in got} == want and len(got) == len(want)
+    nodes = spark.createDataFrame([(i, 100, *r) for i, r in enumerate(sorted(rows))], "rep long, n long, high long, low long")
+    got = simhash.components(simhash.near_links(nodes, max_distance=limit)).collect()
+    assert {(r["node"], r["root"]) for r in got} == brute_components([(sorted(rows).index(a), sorted(rows).index(b)) for a, b in want])
+
+
+def brute_components(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    root = {i: i for p in pairs for i in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return set(root.items())
+
+
+def test_large_buckets_against_pairs():
+    """The breadth-first search of large buckets and the comparison of small ones connect what all pairs connect."""
+    rng = np.random.default_rng(8)
+    center = rng.integers(0, 2**63, (3, 2), dtype=np.uint64)
+    rows = []
+    for i in range(300):
+        x = center[i % 3].copy()
+        for b in rng.choice(128, int(rng.integers(0, 14)), replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        rows.append(x)
+    x = np.array(rows)
+    n = rng.integers(80, 120, 300)
+    zero = np.zeros(300, np.int64)
+    a, b = simhash._links(zero, zero, zero + 1, x[:, 0], x[:, 1], n, 19, 0.8)
+    pairs = [(i, j) for i in range(300) for j in range(i) if simhash._near(x[:, 0], x[:, 1], n, np.array([i]), np.array([j]), 19, 0.8)[0]]
+    whole = simhash._forest(300, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    assert (simhash._forest(300, a, b) == whole).all() and len(a) < len(pairs)
 
 
 def test_components(spark):
