@@ -3,12 +3,8 @@
 A document's signature has ``bits`` bits, the signs of a random projection of its words (lower-cased runs
 of letters and digits; weight: square root of the count). It is cut into ``segments`` pieces, few enough
 that two signatures which differ in at most ``2 * segments - 1`` bits have some piece that differs by at
-most one bit. Every piece is indexed once as it is and once for each of its bits with that bit deleted;
-the entries of two documents meet by equality:
-
-* pieces that are equal meet at the undeleted entry;
-* pieces that differ in exactly one bit meet at the entry with just that bit deleted, where one side
-  has the bit set and the other not. Only such sides are joined, so no pair comes out of many variants.
+most one bit. Every piece is indexed once for each of its bits, with that bit deleted; two documents meet
+where a variant is equal: at all of them if their pieces are equal, at just one if these differ in one bit.
 
 Candidates are verified by the Hamming distance of the whole signatures. Up to ``2 * segments - 1`` bits
 every pair is found; above that, up to ``max_distance``, a pair is found with the measured recall
