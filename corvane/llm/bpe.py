@@ -1,32 +1,34 @@
 """BPE encoding and decoding over a distinct-word table.
 
-Texts are split into words in Spark by the tokenizer's own pattern; merges never cross those words. Each
-distinct word is encoded once, in a table (word, n, ids). The ids then return to their positions:
+Texts are split into words in Spark by the tokenizer's own pattern; merges never cross those words. The distinct
+words of every input partition meet by word, each distinct word of the corpus is encoded once, and its ids return
+to the partitions that have it: a table (part, word, ids), written to the shared checkpoint folder and laid out by
+partition. A second pass over the texts joins the ids back by position from its own partition's part of the table.
+So neither texts nor ids of documents are exchanged, only (partition, distinct word) pairs, and nothing is broadcast.
 
-* the ``head_words`` most frequent words go to every executor as an Arrow table (their number is bounded,
-  so the broadcast is too) and are looked up batch-wise where the text is split;
-* the occurrences of all other words, rare by construction, are exploded with their position, joined to
-  the word table by a shuffle and put into the gaps that the lookup left.
+The second pass counts on the scan making the same partitions again. A word that its part lacks, as when a file system
+lists files in another order, is encoded on the spot: that costs time and changes no result.
 
-A vocabulary that fits the head entirely skips the second step. Decoding joins ids to their pieces by an
-indexed array of the vocabulary, whose size is that of the tokenizer, and concatenates bytes.
+Decoding joins ids to their pieces by position in the vocabulary: the bytes of all pieces of a batch are gathered at
+once, and every text is the span of bytes from its first to its last id.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import common, tokens
 
-#: Words in the broadcast head: 30 to 60 MB.
-HEAD_WORDS = 1_000_000
-
 #: White space as the tokenizer's regex engine has it; Java's \s is ASCII only.
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
@@ -37,117 +39,173 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
 
 
-def word_table(words: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
-    """(word, n, ids) of each distinct word in the column words, an array; checkpointed."""
-    counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def _ids(encoding, words: list[str]) -> list[list[int]]:
+    single, ranks, out = encoding._core_bpe.encode_single_piece, encoding._mergeable_ranks, []
+    for word in words:
+        raw = word.encode()
+        known = ranks.get(raw)
+        out.append([known] if known is not None else single(raw))
+    return out
+
+
+#: Pairs that a task gathers before it sends them to their partitions.
+GATHER = 2_000_000
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, word) of each distinct word of a partition."""
+    part, seen, fresh, size = None, None, [], 0
+
+    def merged() -> pa.Array:
+        return pc.unique(pa.chunked_array([*([seen] if seen is not None else []), *fresh]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("part")[0].as_py()
+        fresh.append(pc.unique(batch.column("words").flatten()))
+        size += len(fresh[-1])
+        if size > max(GATHER // 4, 0 if seen is None else len(seen)):
+            seen, fresh, size = merged(), [], 0
+    if part is None:
+        return
+    found = merged()
+    for lo in range(0, len(found), 50_000):
+        some = found.slice(lo, 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), some], names=["part", "word"])
+
+
+def _entries(part: np.ndarray, word: pa.Array, encoding) -> Iterator[tuple[int, bytes]]:
+    """(part, compressed table of word and ids) of every part, each distinct word being encoded once."""
+    coded = word.dictionary_encode()
+    ids = pa.array(_ids(encoding, coded.dictionary.to_pylist()), pa.list_(pa.int32()))
+    order = np.argsort(part, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
+    which = np.asarray(coded.indices)[order]
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        take = pa.array(which[lo:hi])
+        table = pa.table({"word": coded.dictionary.take(take), "ids": ids.take(take)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+            out.write_table(table)
+        yield int(part[order[lo]]), sink.getvalue().to_pybytes()
+
+
+def word_table(parted: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> str:
+    """Writes (part, entries) of a table (part, words), words being arrays; returns the folder. entries are compressed tables.
+
+    Words are made distinct in their partition before they are exchanged; equal words meet in one task and are encoded
+    once; what returns to a partition travels as one compressed table for each task that it comes from.
+    """
+    pairs = parted.select("part", "words").mapInArrow(_distinct, "part int, word string").repartition("word").sortWithinPartitions("word")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokens.byte_bpe(tokenizer)
-        single = encoding._core_bpe.encode_single_piece
-        ranks = encoding._mergeable_ranks
-        for batch in batches:
-            ids = []
-            for word in batch.column("word").to_pylist():
-                raw = word.encode()
-                known = ranks.get(raw)
-                ids.append([known] if known is not None else single(raw))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    return common.checkpoint(counts.mapInArrow(encode, "word string, n long, ids array<int>"))
-
-
-def _head(table: DataFrame, head_words: int) -> tuple[DataFrame, DataFrame | None]:
-    """The most frequent words, at most head_words of them, and the rest or None."""
-    total = table.count()
-    if total <= head_words:
-        return table, None
-    steps = table.groupBy("n").count().orderBy(F.desc("n")).limit(head_words).collect()
-    room, least = head_words, None
-    for row in steps:
-        if row["count"] > room:
-            break
-        room, least = room - row["count"], row["n"]
-    if least is None:  # one frequency alone overflows the head
-        return table.limit(0), table
-    return table.filter(F.col("n") >= least), table.filter(F.col("n") < least)
-
-
-def _look_up(words: DataFrame, head: DataFrame, rest: bool) -> DataFrame:
-    """words (doc_id, words) to (doc_id, ids, missing): -1 stands for each word that is in missing."""
-    arrow = head.select("word", "ids").toArrow().combine_chunks()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, arrow.schema) as out:
-        out.write_table(arrow)
-    shared = words.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with pa.ipc.open_stream(shared.value) as stream:
-            table = stream.read_all().combine_chunks()
-        known = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        lists = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat = np.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.int32(-1))
-        starts = np.append(np.asarray(lists.offsets)[:-1], len(flat) - 1).astype(np.int64)
-        sizes = np.append(np.diff(np.asarray(lists.offsets)), 1).astype(np.int64)
-        for batch in batches:
-            column = batch.column("words")
-            offsets = np.asarray(column.offsets).astype(np.int64)
-            values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
-            offsets -= offsets[0]
-            # each distinct word of the batch is looked up once
-            coded = values.dictionary_encode()
-            found = pc.index_in(coded.dictionary.cast(known.type), value_set=known)
-            where = found.fill_null(len(sizes) - 1).to_numpy(zero_copy_only=False).astype(np.int64)[np.asarray(coded.indices)]
-            size = sizes[where]
-            ends = np.r_[0, np.cumsum(size)]
-            ids = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[where], size)]
-            columns = [batch.column("doc_id"), _list(ids, ends[offsets], column, pa.int32())]
-            if rest:
-                gap = where == len(sizes) - 1
-                before = np.r_[0, np.cumsum(gap)]
-                columns.append(_list(values.filter(pa.array(gap)), before[offsets], column, values.type))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", *(["missing"] if rest else [])])
-
-    return words.select("doc_id", "words").mapInArrow(run, "doc_id long, ids array<int>" + ", missing array<string>" * rest)
-
-
-def _list(values, offsets: np.ndarray, like: pa.Array, kind: pa.DataType) -> pa.Array:
-    out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
-    return pc.if_else(like.is_null(), pa.scalar(None, out.type), out) if like.null_count else out
-
-
-def _fill(found: DataFrame, rest: DataFrame) -> DataFrame:
-    """Puts the ids of missing words, joined by shuffle, into the gaps."""
-    found = common.checkpoint(found.withColumn("rid", F.monotonically_increasing_id()))
-    gaps = found.select("rid", F.posexplode("missing").alias("pos", "word"))
-    patches = (
-        gaps.join(rest.select("word", F.col("ids").alias("patch")), "word")
-        .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "patch"))).alias("patches")))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ids, patches in zip(batch.column("ids").to_pylist(), batch.column("patches").to_pylist(), strict=True):
-                if patches:
-                    row, last = [], 0
-                    for at, patch in zip(np.flatnonzero(np.asarray(ids) < 0).tolist(), patches, strict=True):
-                        row += ids[last:at] + patch["patch"]
-                        last = at + 1
-                    ids = row + ids[last:]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return found.join(patches, "rid", "left").select("doc_id", "ids", "patches").mapInArrow(merge, "doc_id long, ids array<int>")
+        held: list[pa.RecordBatch] = []
+        size = 0
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            for part, entries in _entries(table.column("part").to_numpy(), table.column("word").chunk(0), encoding):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([entries], pa.binary())], names=["part", "entries"])
 
-def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, head_words: int = HEAD_WORDS) -> DataFrame:
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= GATHER:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    folder = f"{common.ensure_checkpoint_dir(parted.sparkSession)}/bpe-words-{uuid.uuid4().hex}"
+    encoded = pairs.mapInArrow(encode, "part int, entries binary")
+    encoded.repartition("part").write.partitionBy("part").option("compression", "none").parquet(folder)
+    return folder
+
+
+def _part(folder: str, part: int) -> pa.Table:
+    """(word, ids) of one partition; empty if there is none."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (pyarrow.fs.LocalFileSystem(), folder)
+    path = f"{path}/part={part}"
+    empty = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+        return empty
+    entries = ds.dataset(path, schema=pa.schema([("entries", pa.binary())]), filesystem=fs, format="parquet").to_table().column("entries")
+    return pa.concat_tables([empty, *[pa.ipc.open_stream(e.as_buffer()).read_all() for e in entries]]).combine_chunks()
+
+
+#: Words or ids of a batch that are worked on at once.
+SLICE = 300_000
+
+
+def _slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE list elements, one row at least."""
+    bounds = np.asarray(column.offsets).astype(np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+class _Lookup:
+    """Ids of words, from a table; what it lacks is encoded once and kept."""
+
+    def __init__(self, table: pa.Table, tokenizer: str):
+        self.encoding = tokens.byte_bpe(tokenizer)
+        self.known = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        lists = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        self.flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+
+    def add(self, words: pa.Array) -> None:
+        more = _ids(self.encoding, words.to_pylist())
+        self.known = pa.concat_arrays([self.known, words.cast(self.known.type)])
+        self.flat = np.r_[self.flat, np.fromiter((i for ids in more for i in ids), np.int32)]
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(ids) for ids in more])]
+
+    def __call__(self, column: pa.Array) -> pa.Array:
+        offsets = np.asarray(column.offsets).astype(np.int64)
+        values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets -= offsets[0]
+        coded = values.dictionary_encode()  # each distinct word of the batch is looked up once
+        words = coded.dictionary.cast(self.known.type)
+        found = pc.index_in(words, value_set=self.known)
+        if found.null_count:
+            self.add(words.filter(pc.is_null(found)))
+            found = pc.index_in(words, value_set=self.known)
+        where = found.to_numpy(zero_copy_only=False).astype(np.int64)[np.asarray(coded.indices)]
+        size = self.starts[where + 1] - self.starts[where]
+        ends = np.r_[0, np.cumsum(size)]
+        ids = self.flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[where], size)]
+        out = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(ids, pa.int32()))
+        return pc.if_else(column.is_null(), pa.scalar(None, out.type), out) if column.null_count else out
+
+
+def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
     """(doc_id, ids) of every row, repeated rows included; null ids for a null text, none for an empty one.
 
-    tokenizer: a tiktoken rank file of a byte-level vocabulary that splits by ``tokens.PATTERN``.
+    tokenizer: a tiktoken rank file of a byte-level vocabulary that splits by ``tokens.PATTERN``. An empty table gives
+    an empty result; extra columns are ignored. docs is read twice, so it should be a scan or something as cheap.
     """
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("words"))
-    head, rest = _head(word_table(words, tokenizer), head_words)
-    found = _look_up(words, head, rest is not None)
-    return found if rest is None else _fill(found, rest)
+    words = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("words"))
+    folder = word_table(words, tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, look_up = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if part is None:
+                part = batch.column("part")[0].as_py()
+                look_up = _Lookup(_part(folder, part), tokenizer)
+            for piece in _slices(batch, batch.column("words")):
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), look_up(piece.column("words"))], names=["doc_id", "ids"])
+
+    return words.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
@@ -156,23 +214,44 @@ def pieces(spark: SparkSession, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
+def _texts(column: pa.Array, listed: pa.Array) -> pa.Array:
+    """The texts of lists of ids; the last of the listed pieces is empty and stands for unknown ids."""
+    bounds = np.asarray(column.offsets).astype(np.int64)
+    ids = column.values.slice(bounds[0], bounds[-1] - bounds[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+    ids = np.where((ids < 0) | (ids >= len(listed) - 1), len(listed) - 1, ids)
+    pieces = listed.take(pa.array(ids, pa.int64()))
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    data = pieces.buffers()[2] if len(ids) else pa.py_buffer(b"")
+    spans = ends[bounds - bounds[0]]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(spans.tobytes()), data])
+    try:
+        text = raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+    return pc.if_else(column.is_null(), pa.scalar(None, pa.string()), text) if column.null_count else text
+
+
 def decode(encoded: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
-    """encoded, which has a column ids, with the text they stand for.
+    """encoded, which has a column ids, with a column text: what the ids stand for; null for null ids.
 
-    The vocabulary is joined as one row with an array in order of the ids, so that each id finds its piece
-    by index and a document never leaves its partition. Pieces are bytes, held as Latin-1 characters until
-    the whole text is put together, as a character may be spread over several tokens. Unknown ids give nothing.
+    Unknown ids give nothing. A character may be spread over several tokens, so bytes are put together before they are
+    read as UTF-8; faulty bytes become replacement characters. A column text that encoded has is replaced.
     """
-    by_id = {i: b for b, i in tokens.ranks(tokenizer).items()}
-    listed = [by_id.get(i, b"").decode("latin-1") for i in range(max(by_id) + 1)]
-    vocabulary = encoded.sparkSession.createDataFrame([(listed,)], "vocabulary array<string>")
-    joined = encoded.crossJoin(F.broadcast(vocabulary))
-    raw = F.array_join(F.transform("ids", lambda i: F.get("vocabulary", i)), "")
-    text = F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")
-    return joined.withColumn("text", text).drop("vocabulary")
+    kept = [c for c in encoded.columns if c != "text"]
+    at = kept.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = {i: b for b, i in tokens.ranks(tokenizer).items()}
+        listed = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)] + [b""], pa.large_binary())
+        for batch in batches:
+            for piece in _slices(batch, batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*piece.columns, _texts(piece.column(at), listed)], names=[*kept, "text"])
+
+    narrow = encoded.select(*[common.col(c) for c in kept])
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields, T.StructField("text", T.StringType())]))
 
 
-def round_trip(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, head_words: int = HEAD_WORDS) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
     """(doc_id, n_tokens, ids, text_hash): the ids of every row and the hash of the text decoded from them."""
-    decoded = decode(encode(docs, tokenizer, head_words), tokenizer)
+    decoded = decode(encode(docs, tokenizer), tokenizer)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.xxhash64("text").alias("text_hash"))
