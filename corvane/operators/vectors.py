@@ -2,13 +2,19 @@
 
 Vectors are (id, embedding), queries a batch (query_id, embedding). Exact scores of a query batch against a corpus
 are a nested loop in which the batch is the small side; Catalyst broadcasts it if its size permits. Every executor
-keeps k rows for each query before anything is exchanged (WindowGroupLimit).
+keeps k rows for each query before anything is exchanged (WindowGroupLimit). A batch as large as the corpus goes
+through `batch_topk` or `batch_expand`: blocks of queries, past each of which the whole corpus streams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(v: Column) -> Column:
@@ -98,3 +104,139 @@ def expand_by_cosine(vocabulary: DataFrame, queries: DataFrame, k: int = 5, thre
     fresh = scored.filter(~F.contains(F.lower("query"), F.lower("name")) & (F.col("is_public") | (F.col("score") >= threshold + margin)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
     return fresh.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "name", "score", "rank")
+
+
+#: Queries of a block, and rows of the corpus that it is compared with at once.
+BLOCK, _CHUNK = 2048, 2048
+_NONE = np.iinfo(np.int64).max
+
+
+def _matrix(column: pa.Array, measure: str) -> np.ndarray:
+    sizes = np.diff(np.asarray(column.offsets))
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("embeddings of different lengths")
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    if measure == "hamming":
+        return np.where(x > 0, 1, -1).astype(np.float32)
+    x = x.astype(np.float64)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n == 0, 1.0, n)
+
+
+def _scores(q: np.ndarray, v: np.ndarray, measure: str) -> np.ndarray:
+    """Whole numbers, the best the smallest: differing signs, or the score of six decimals times a million."""
+    if q.shape[1] != v.shape[1]:
+        raise ValueError("embeddings of different lengths")
+    met = q @ v.T
+    if measure == "hamming":
+        return ((q.shape[1] - met) / 2).astype(np.int64)
+    if measure == "cosine":
+        met = 1 - met
+    rounded = (np.sign(met) * np.floor(np.abs(met) * 1e6 + 0.5)).astype(np.int64)
+    return rounded if measure == "cosine" else -rounded
+
+
+class _Block:
+    """The k best of every query of a block, kept while the corpus goes by in the order that breaks ties."""
+
+    def __init__(self, k: int, measure: str):
+        self.k, self.measure, self.seen = k, measure, 0
+        self.asked: list[pa.RecordBatch] = []
+        self.ids: list[pa.Array] = []
+        self.q = self.best = None
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        if self.q is None:
+            self.q = np.concatenate([_matrix(b.column("embedding"), self.measure) for b in self.asked])
+            self.texts = [t for b in self.asked for t in b.column("text").to_pylist()]
+            self.best = np.full((len(self.q), self.k), _NONE)
+        score = _scores(self.q, _matrix(rows.column("embedding"), self.measure), self.measure)
+        # a score has less than 23 bits, the place in the corpus has the lower 40
+        key = (score << 40) + (self.seen + np.arange(rows.num_rows))
+        least = rows.column("least").to_numpy(zero_copy_only=False)
+        if not np.isnan(least.astype(float)).all():
+            key[-score / 1e6 < least] = _NONE
+        for text in {t for t in self.texts if t is not None}:
+            had = np.flatnonzero([n in text for n in rows.column("text").to_pylist()])
+            if len(had):
+                key[np.ix_([i for i, t in enumerate(self.texts) if t == text], had)] = _NONE
+        self.seen += rows.num_rows
+        self.ids.append(rows.column("id"))
+        # most queries keep what they have once much of the corpus has gone by
+        better = np.flatnonzero((key < self.best.max(axis=1, keepdims=True)).any(axis=1))
+        if len(better):
+            both = np.concatenate([self.best[better], key[better]], axis=1)
+            self.best[better] = np.partition(both, self.k - 1, axis=1)[:, : self.k]
+
+    def found(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        if self.best is None:
+            return
+        best = np.sort(self.best, axis=1)
+        query, rank = np.nonzero(best != _NONE)
+        key = best[query, rank]
+        score = key >> 40
+        score = pa.array(score.astype(np.int32)) if self.measure == "hamming" else pa.array((score if self.measure == "cosine" else -score) / 1e6)
+        asked = pa.concat_arrays([b.column("query_id") for b in self.asked])
+        ids = pa.concat_arrays(self.ids).take(pa.array(key & ((1 << 40) - 1)))
+        out = pa.RecordBatch.from_arrays([asked.take(pa.array(query)), ids, score, pa.array((rank + 1).astype(np.int32))], names=names)
+        for lo in range(0, out.num_rows, 100_000):
+            yield out.slice(lo, 100_000)
+
+
+def _streamed(corpus: DataFrame, queries: DataFrame, k: int, measure: str, names: list[str], block: int) -> DataFrame:
+    """corpus (id, embedding, text, least), queries (query_id, embedding, text) -> (query_id, id, score, rank), named by names."""
+    whole = lambda df: df.filter("embedding is not null and not exists(embedding, x -> x is null or isnan(x))")
+    corpus, queries = whole(corpus), whole(queries)
+    blocks = max(1, -(-queries.count() // block))
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType)
+    asked = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "query_id", none("id", corpus).alias("id"), doubles(F.col("embedding")).alias("embedding"),
+        "text", F.lit(None).cast("double").alias("least"))
+    everywhere = corpus.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), none("query_id", queries).alias("query_id"), "id",
+        doubles(F.col("embedding")).alias("embedding"), "text", "least")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, _Block(k, measure)
+        for batch in batches:
+            place = batch.column("block").to_numpy() * 2 + batch.column("kind").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1, len(place)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if place[lo] // 2 != at:
+                    yield from held.found(names)
+                    at, held = place[lo] // 2, _Block(k, measure)
+                if place[lo] % 2 == 0:
+                    held.asked.append(batch.slice(lo, hi - lo))
+                elif held.asked:
+                    for i in range(lo, hi, _CHUNK):
+                        held.meet(batch.slice(i, min(_CHUNK, hi - i)))
+        yield from held.found(names)
+
+    schema = T.StructType([
+        T.StructField(names[0], queries.schema["query_id"].dataType), T.StructField(names[1], corpus.schema["id"].dataType),
+        T.StructField(names[2], T.IntegerType() if measure == "hamming" else T.DoubleType()), T.StructField(names[3], T.IntegerType())])
+    return asked.unionByName(everywhere).repartition("block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, schema)
+
+
+def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, rank) of hamming_topk, cosine_topk or inner_product_topk (measure: hamming, cosine, inner) for
+    any number of queries, each query_id a row of its own.
+
+    Every query meets every vector. The corpus is sent once for each block of queries and k rows a query are kept on the
+    way, so the pairs are never exchanged. Vectors that are null or hold a null or NaN meet nothing; all others must be of one length.
+    """
+    if measure not in ("hamming", "cosine", "inner"):
+        raise ValueError(measure)
+    nothing = F.lit(None).cast("string").alias("text")
+    corpus = vectors.select("id", "embedding", nothing, F.lit(None).cast("double").alias("least"))
+    return _streamed(corpus, queries.select("query_id", "embedding", nothing), k, measure, ["query_id", "id", "score", "rank"], block)
+
+
+def batch_expand(vocabulary: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.35, margin: float = 0.1, block: int = BLOCK) -> DataFrame:
+    """expand_by_cosine for any number of queries; names are looked through once for each distinct query text of a block."""
+    least = F.when(F.col("is_public"), F.lit(threshold)).otherwise(F.lit(threshold + margin))
+    corpus = vocabulary.filter("name is not null and is_public is not null").select(F.col("name").alias("id"), "embedding", F.lower("name").alias("text"), least.alias("least"))
+    asked = queries.filter("query is not null").select("query_id", "embedding", F.lower("query").alias("text"))
+    return _streamed(corpus, asked, k, "inner", ["query_id", "name", "score", "rank"], block)

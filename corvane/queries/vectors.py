@@ -1,10 +1,12 @@
-"""Queries of the vector operators: all embeddings are the corpus, the mean vector of each label is a query."""
+"""Queries of the vector operators: all embeddings are the corpus. The mean vector of each label is a query or, in those
+whose names end in _all, every embedding is one; these have no SQL, as all pairs of lists are too slow for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from corvane.operators import vectors as op
+from corvane.plans.lineage import cut
 from corvane.queries.base import query, relation, table
 
 #: Mean vectors, rounded so that both engines start from the same numbers.
@@ -81,3 +83,53 @@ def cosine_threshold_expand(spark, sf_dir):
     name = F.concat(F.when(F.col("label") < 5, "_").otherwise(""), F.lit("term"), F.col("vec_id"))
     vocabulary = e.select(name.alias("name"), (F.col("label") >= 5).alias("is_public"), "embedding")
     return op.expand_by_cosine(vocabulary, _queries(spark, sf_dir).withColumn("query", F.lit("about term7")))
+
+
+def _all(spark, sf_dir):
+    """Every embedding as a query."""
+    return relation(spark, sf_dir, "vectors").withColumnRenamed("id", "query_id")
+
+
+def _batch(spark, sf_dir, k, measure):
+    return op.batch_topk(relation(spark, sf_dir, "vectors"), _all(spark, sf_dir), k, measure)
+
+
+@query()
+def hamming_topk_all(spark, sf_dir):
+    return _batch(spark, sf_dir, 200, "hamming")
+
+
+@query()
+def cosine_topk_all(spark, sf_dir):
+    return _batch(spark, sf_dir, 50, "cosine")
+
+
+@query()
+def inner_product_topk_all(spark, sf_dir):
+    return _batch(spark, sf_dir, 50, "inner")
+
+
+@query()
+def vector_funnel_all(spark, sf_dir):
+    # both lists are read twice, for queries with and without a coarse candidate among the exact ones
+    return op.funnel(cut(_batch(spark, sf_dir, 200, "hamming")), cut(_batch(spark, sf_dir, 50, "cosine")))
+
+
+@query()
+def funnel_intersect_all(spark, sf_dir):
+    coarse, fine = _batch(spark, sf_dir, 200, "hamming"), _batch(spark, sf_dir, 50, "cosine")
+    return coarse.select("query_id", "id").intersect(fine.select("query_id", "id"))
+
+
+@query()
+def coarse_channel_all(spark, sf_dir):
+    found = _batch(spark, sf_dir, 200, "hamming")
+    return found.select("query_id", F.lit("vector").alias("source"), F.col("id").alias("doc_id"), F.col("score").cast("double").alias("score"), "rank")
+
+
+@query()
+def cosine_threshold_expand_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    name = F.concat(F.when(F.col("label") < 5, "_").otherwise(""), F.lit("term"), F.col("vec_id"))
+    vocabulary = e.select(name.alias("name"), (F.col("label") >= 5).alias("is_public"), "embedding")
+    return op.batch_expand(vocabulary, _all(spark, sf_dir).withColumn("query", F.lit("about term7")))
