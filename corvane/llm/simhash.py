@@ -1,14 +1,12 @@
 """SimHash near-dedup with deletion-variant signatures.
 
 A document's signature has ``bits`` bits, the signs of a random projection of its words (lower-cased runs
-of letters and digits; weight: square root of the count). It is cut into ``segments`` pieces, few enough
-that two signatures which differ in at most ``2 * segments - 1`` bits have some piece that differs by at
-most one bit. Every piece is indexed once for each of its bits, with that bit deleted; two documents meet
+of letters and digits; weight: square root of the count). It is cut into ``segments`` pieces, or into more
+if ``max_distance`` needs them: two signatures which differ in at most ``2 * pieces - 1`` bits have some piece
+that differs by at most one bit. Every piece is indexed once for each of its bits, with that bit deleted; two documents meet
 where a variant is equal: at all of them if their pieces are equal, at just one if these differ in one bit.
 
-Candidates are verified by the Hamming distance of the whole signatures. Up to ``2 * segments - 1`` bits
-every pair is found; above that, up to ``max_distance``, a pair is found with the measured recall
-that the README gives.
+Candidates are verified by the Hamming distance of the whole signatures. Every pair within ``max_distance`` is found.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-#: Production parameters: 6 pieces of 21 or 22 bits; distance 19 of 128 is an angle of 27 degrees.
+#: Production parameters: 6 pieces at least, for distance 19 there are 10 of 12 or 13 bits; 19 of 128 is an angle of 27 degrees.
 BITS, SEGMENTS, MAX_DISTANCE, MIN_RATIO = 128, 6, 19, 0.8
 
 _ROWS = 8192
@@ -133,14 +131,17 @@ def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: Buckets of up to so many signatures are compared pair by pair, all buckets at once.
 _SMALL = 64
+#: Signatures of a large bucket that as many seeds are compared with at once.
+_WIDE = 4096
 
 
 def _links(g: np.ndarray, other: np.ndarray, width: np.ndarray, high: np.ndarray, low: np.ndarray, n: np.ndarray, max_distance: int, min_ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect just those of the signatures that verified pairs of the same variant bucket connect.
 
     A bucket holds the signatures with one g and one value of the other half but for a deleted bit. Small buckets are
-    compared pair by pair. In large ones a breadth-first search compares each newly reached signature with those not
-    yet reached only, so a bucket of many near copies costs little more than its size, and no pair is left undecided.
+    compared pair by pair. In large ones signatures without a near one are found and dropped many at once; from the others
+    a breadth-first search compares each newly reached signature with those not yet reached only, so a bucket of many
+    near copies costs little more than its size, and no pair is left undecided.
     """
     found_a, found_b = [], []
     for bit in range(int(width.max())):
@@ -165,16 +166,24 @@ def _links(g: np.ndarray, other: np.ndarray, width: np.ndarray, high: np.ndarray
             found_b.append(y[ok])
         for k in np.flatnonzero(size > _SMALL):
             left = rows[head[k] : head[k] + size[k]]
-            reached: list[int] = []
             while len(left):
-                if not reached:
-                    reached, left = [int(left[0])], left[1:]
-                at = reached.pop()
-                ok = _near(high, low, n, np.full(len(left), at), left, max_distance, min_ratio)
-                found_a.append(np.full(int(ok.sum()), at))
-                found_b.append(left[ok])
-                reached += left[ok].tolist()
-                left = left[~ok]
+                seeds = left[:_SMALL]
+                near = np.zeros(len(seeds), dtype=np.int64)
+                for at in range(0, len(left), _WIDE):
+                    near += _near(high, low, n, seeds[:, None], left[None, at : at + _WIDE], max_distance, min_ratio).sum(axis=1)
+                # each is near itself
+                reached, left = seeds[near > 1].tolist(), np.r_[seeds[near > 1], left[len(seeds) :]]
+                for seed in reached:
+                    if not (left[:_SMALL] == seed).any():
+                        continue  # reached from an earlier one
+                    left, fresh = left[left != seed], [seed]
+                    while fresh and len(left):
+                        at = fresh.pop()
+                        ok = _near(high, low, n, np.full(len(left), at), left, max_distance, min_ratio)
+                        found_a.append(np.full(int(ok.sum()), at))
+                        found_b.append(left[ok])
+                        fresh += left[ok].tolist()
+                        left = left[~ok]
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_a), np.concatenate(found_b)
@@ -185,15 +194,18 @@ _CHUNK = 100_000
 
 
 def near_links(nodes: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """(a, b): edges whose connected components are those of all pairs of nodes (rep, n, high, low) that share a variant,
-    have signatures within max_distance and word counts within min_ratio.
+    """(a, b): edges whose connected components are those of all pairs of nodes (rep, n, high, low) that have signatures
+    within max_distance and word counts within min_ratio.
+
+    There are as many pieces as make every such pair share a variant, and segments at least.
 
     Two pieces that differ in at most one bit agree in one of their halves. So a signature is sent once for each half
     of each piece, to where all with the same half meet, and its variants (one bit of the other half deleted) are made
-    and matched there: 2 * segments rows are exchanged for a signature instead of all its variants. What comes back is
+    and matched there: two rows for each piece are exchanged for a signature instead of all its variants. What comes back is
     a spanning forest, so a group of thousands of near copies gives as many edges and not as many as it has pairs.
     """
     high, low = F.col("high"), F.col("low")
+    segments = max(segments, max_distance // 2 + 1)
     sent = []
     for s, (start, middle, stop) in enumerate(_halves(segments)):
         for half, (kept, other) in enumerate((((start, middle), (middle, stop)), ((middle, stop), (start, middle)))):
