@@ -279,23 +279,22 @@ def near_duplicates(
 
     Groups are the connected components of "signatures within max_distance, word counts within a ratio
     of min_ratio"; the document with the smallest id is kept. distance is between the two signatures, so
-    within a chain it may be more than max_distance. Equal signatures are one node of the graph, so a
-    group of any number of copies costs one node. Documents without a word (null, empty, punctuation
+    within a chain it may be more than max_distance. Equal signatures of equal word counts are one node of
+    the graph, so a group of any number of copies costs one node; of different counts they are several, under the same ratio. Documents without a word (null, empty, punctuation
     only) and documents with a null id are never in the result; a row repeated with the same id is one
     document. An empty table gives an empty result.
     """
     signed = common.checkpoint(signatures(docs, id_col, text_col).filter("doc_id is not null"))
-    nodes = signed.groupBy("high", "low").agg(F.min(F.struct("doc_id", "n_words")).alias("m")).select(
-        "high", "low", F.col("m.doc_id").alias("rep"), F.col("m.n_words").alias("n"))
+    nodes = signed.groupBy("high", "low", F.col("n_words").alias("n")).agg(F.min("doc_id").alias("rep"))
     nodes = common.checkpoint(nodes)
     roots = components(near_links(nodes, segments, max_distance, min_ratio))
-    # a component's smallest representative is its smallest document, as a representative is its signature's smallest
+    # a component's smallest representative is its smallest document, as a representative is its node's smallest
     kept = nodes.select("rep", F.col("high").alias("kept_high"), F.col("low").alias("kept_low"))
-    member = nodes.join(roots, nodes.rep == roots.node, "left").select("high", "low", F.coalesce("root", "rep").alias("kept_id"))
+    member = nodes.join(roots, nodes.rep == roots.node, "left").select("high", "low", "n", F.coalesce("root", "rep").alias("kept_id"))
     member = member.join(kept.withColumnRenamed("rep", "kept_id"), "kept_id")
     distance = F.bit_count(F.col("high").bitwiseXOR(F.col("kept_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("kept_low")))
     return (
-        signed.select("doc_id", "high", "low").join(member, ["high", "low"]).filter("doc_id <> kept_id")
+        signed.select("doc_id", "high", "low", F.col("n_words").alias("n")).join(member, ["high", "low", "n"]).filter("doc_id <> kept_id")
         .groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"), F.min(distance).alias("distance"))
     )
 

@@ -38,3 +38,15 @@ def test_large_buckets_of_mostly_unrelated_signatures(monkeypatch, wide):
     assert len(pairs) > 50
     whole = simhash._forest(300, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
     assert (simhash._forest(300, a, b) == whole).all()
+
+
+def test_word_counts_of_equal_signatures(spark):
+    """A text written twice has the signature of the text, but not its word count."""
+    text = " ".join(f"word{i}" for i in range(101))
+    rows = [(1, text), (2, f"{text} {text}"), (3, f"{text} {text} more"), (4, text), (5, f"{text} {text}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({(r["high"], r["low"]) for r in simhash.signatures(docs).collect() if r["doc_id"] != 3}) == 1
+    got = {(r["doc_id"], r["kept_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(3, 2), (4, 1), (5, 2)}
+    # within the ratio of each other they are near duplicates
+    assert {(r["doc_id"], r["kept_id"]) for r in simhash.near_duplicates(docs, min_ratio=0.5).collect()} >= {(2, 1), (4, 1), (5, 1)}
