@@ -1,4 +1,4 @@
-"""Suffix-array dedup of passages over a run-length compressed Burrows-Wheeler transform.
+"""Suffix-array dedup of passages, with common prefixes from the run heads of a Burrows-Wheeler transform.
 
 Words are runs of characters other than ASCII white space (characters of scripts without spaces stand for
 themselves). A passage is repeated if its ``min_words`` words stand in some other document too. The steps:
@@ -7,11 +7,11 @@ themselves). A passage is repeated if its ``min_words`` words stand in some othe
    grams. Consecutive windows of one group form a piece. Equal windows are in pieces of the same group,
    so groups can be searched on their own and a group of one document only is done with.
 2. Of each distinct piece two occurrences, in two documents where there are two, are fetched.
-3. Groups are put together in blocks; for each block the transform of its pieces' words is built, run-length
-   compressed, with suffix-array samples at run ends (`RunLengthIndex`). Longest common prefixes are
-   computed at run heads only and stream along the text from there, which gives each position's matching
-   statistics against the rest of the block; positions that match another document for ``min_words``
-   or more are marked.
+3. Groups are put together in blocks; for each block the full suffix array of its pieces' words is built and
+   kept (`RunLengthIndex`). Longest common prefixes are computed at the transform's run heads only and
+   carried along the text from there; positions that match another document for ``min_words`` or more are
+   marked from suffix array and prefixes. Matching statistics over the run-length index alone are not used
+   here (`matching_statistics` is there for the tests).
 4. Marks go from the distinct piece to all its occurrences and are merged per document.
 
 All steps shuffle hashes and positions; texts move once, and only those of documents with repeated groups.
@@ -37,7 +37,8 @@ class RunLengthIndex:
     """Run-length compressed Burrows-Wheeler transform of a sequence of integers, with sampled run ends.
 
     Kept are the runs (symbol, first row), the suffix-array samples at both ends of every run, the longest
-    common prefix of each run head with the row above, and symbol counts: all in proportion to the runs.
+    common prefix of each run head with the row above, and symbol counts, all in proportion to the runs;
+    besides, in proportion to the text, the text and its suffix array, which `self_statistics` reads.
     """
 
     def __init__(self, text: np.ndarray):
