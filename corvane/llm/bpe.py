@@ -9,7 +9,7 @@ So neither texts nor ids of documents are exchanged, only (partition, distinct w
 The second pass counts on the scan making the same partitions again. A word that its part lacks, as when a file system
 lists files in another order, is encoded on the spot: that costs time and changes no result.
 
-Decoding joins ids to their pieces by position in the vocabulary: the bytes of all pieces of a batch are gathered at
+Decoding is no join: ids take their pieces by position from the vocabulary, which every task holds. The bytes of all pieces of a batch are gathered at
 once, and every text is the span of bytes from its first to its last id.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,12 +208,6 @@ def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
     return words.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def pieces(spark: SparkSession, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
-    """(id, piece): the vocabulary, each piece as the bytes of its token."""
-    rows = [(i, bytearray(b)) for b, i in tokens.ranks(tokenizer).items()]
-    return spark.createDataFrame(rows, "id int, piece binary")
-
-
 def _texts(column: pa.Array, listed: pa.Array) -> pa.Array:
     """The texts of lists of ids; the last of the listed pieces is empty and stands for unknown ids."""
     bounds = np.asarray(column.offsets).astype(np.int64)
