@@ -103,6 +103,12 @@ def grep_terms(spark, sf_dir):
     return q.select("query_id", F.array_join(T.grep_terms(F.col("query")), " ").alias("terms"))
 
 
+@query("SELECT query_id, concat_ws(' ', CASE WHEN f THEN 'find' END, name, split_part(name, '_', 1), split_part(name, '_', 2), CASE WHEN length(split_part(name, '_', 3)) >= 3 THEN split_part(name, '_', 3) END) AS terms FROM (SELECT query_id, replace(query, 'find ', '') AS name, starts_with(query, 'find ') AS f FROM graph_queries)", ("graph_queries",))
+def grep_terms_all(spark, sf_dir):
+    """All queries, with those of a plain word before the identifier."""
+    return relation(spark, sf_dir, "graph_queries").select("query_id", F.array_join(T.grep_terms(F.col("query")), " ").alias("terms"))
+
+
 _CONCEPT = " ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN [{', '.join(repr(t) for t in tags)}] ELSE [] END," for p, tags in T.CONCEPTS).rstrip(",")
 
 
