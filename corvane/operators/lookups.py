@@ -37,6 +37,22 @@ def cross_refs(refs: DataFrame, name: str) -> DataFrame:
     return refs_from(refs, name).withColumn("direction", F.lit("out")).unionByName(refs_to(refs, name).withColumn("direction", F.lit("in")))
 
 
+def refs_from_each(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """refs_from for every distinct name of names (name)."""
+    return refs.join(names.select(F.col("name").alias("from_name")).distinct(), "from_name", "left_semi")
+
+
+def refs_to_each(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """refs_to for every distinct name of names (name)."""
+    return refs.join(names.select(F.col("name").alias("to_name")).distinct(), "to_name", "left_semi")
+
+
+def cross_refs_each(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, ...): cross_refs for every distinct name of names (name)."""
+    out = refs_from_each(refs, names).withColumn("name", F.col("from_name")).withColumn("direction", F.lit("out"))
+    return out.unionByName(refs_to_each(refs, names).withColumn("name", F.col("to_name")).withColumn("direction", F.lit("in")))
+
+
 def scope_filter(results: DataFrame, scope: str, mode: str = "post", k: int = 10) -> DataFrame:
     """Results (query_id, path, score, rank) under scope: of the first 3 * k (post), or of all before ranking (pre)."""
     prefix = scope.replace("\\", "/").strip("/") + "/"

@@ -68,6 +68,25 @@ def cross_refs(spark, sf_dir):
     return lookups.cross_refs(relation(spark, sf_dir, "refs"), _name(spark, sf_dir)).select("from_name", "to_name", "ref_kind", "line", "direction")
 
 
+@query("SELECT from_name, to_name, ref_kind, line FROM refs WHERE from_name IN (SELECT name FROM symbols)", ("refs", "symbols"))
+def refs_from_all(spark, sf_dir):
+    """From the names of all symbols."""
+    symbols, refs = _rel(spark, sf_dir, "symbols", "refs")
+    return lookups.refs_from_each(refs, symbols).select("from_name", "to_name", "ref_kind", "line")
+
+
+@query("SELECT from_name, to_name, ref_kind, line FROM refs WHERE to_name IN (SELECT name FROM symbols)", ("refs", "symbols"))
+def refs_to_all(spark, sf_dir):
+    symbols, refs = _rel(spark, sf_dir, "symbols", "refs")
+    return lookups.refs_to_each(refs, symbols).select("from_name", "to_name", "ref_kind", "line")
+
+
+@query("SELECT from_name AS name, from_name, to_name, ref_kind, line, 'out' AS direction FROM refs WHERE from_name IN (SELECT name FROM symbols) UNION ALL SELECT to_name, from_name, to_name, ref_kind, line, 'in' FROM refs WHERE to_name IN (SELECT name FROM symbols)", ("refs", "symbols"))
+def cross_refs_all(spark, sf_dir):
+    symbols, refs = _rel(spark, sf_dir, "symbols", "refs")
+    return lookups.cross_refs_each(refs, symbols).select("name", "from_name", "to_name", "ref_kind", "line", "direction")
+
+
 @query("SELECT from_name, to_name, line, coalesce(to_symbol_id, s.id) AS to_symbol_id FROM refs LEFT JOIN symbols s ON s.name = to_name", ("refs", "symbols"))
 def resolve_refs(spark, sf_dir):
     symbols, refs = _rel(spark, sf_dir, "symbols", "refs")
