@@ -162,3 +162,30 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", limit:
     gone = sized(checkpoint(gone.toDF("__gone")), limit)
     packed = docs.select(col(id_col).alias("__id"), pack(docs).alias("__row"))
     return packed.join(gone, packed["__id"] == gone["__gone"], "left_anti").select("__row.*")
+
+
+#: Words of 64 bits of the largest filter that members() sends to every executor: 2**20 rows of two longs, 64 Mbit.
+FILTER_WORDS = 1 << 20
+
+
+def flagged(rows: DataFrame, keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """rows with a column member: true for all rows whose column h is in keys (h) and for few others, false for a null h.
+
+    keys becomes a table of 64-bit words, one bit a hash, which is broadcast: it has as many rows as there are words with
+    a bit, ``words`` at most, however many keys there are. So rows are judged where they are. With k keys about
+    k / (64 * words) of the other rows are taken for members; nothing is ever missed.
+    """
+    bits = 64 * words
+    place = F.pmod(F.xxhash64("h", F.lit(29)), F.lit(bits))
+    bit = F.pmod(place, F.lit(64)).cast("int")
+    one = F.lit(1).cast("long")
+    table = keys.filter("h is not null").groupBy(F.shiftright(place, 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", one, bit)).alias("__bits"))
+    placed = rows.withColumn("__word", F.shiftright(place, 6)).withColumn("__bit", F.when(F.col("h").isNotNull(), bit))
+    met = placed.join(F.broadcast(table), "__word", "left")
+    member = F.call_function("shiftright", F.col("__bits"), F.col("__bit")).bitwiseAND(one) == 1
+    return met.withColumn("member", F.coalesce(member, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def members(rows: DataFrame, keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows that flagged() takes for members, with their columns."""
+    return flagged(rows, keys, words).filter("member").drop("member")

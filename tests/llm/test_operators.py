@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from corvane.llm import bpe, common, exact_dedup, histogram, packing, pii, quality, repeats, simhash, tokens, vptree, warc
+from corvane.llm import bpe, common, exact_dedup, histogram, packing, pii, quality, repeats, simhash, tokens, warc
 
 DOC = "doc_id long, text string"
 WORDS = [f"w{i}x" for i in range(4000)]
@@ -124,15 +125,42 @@ def test_exact_duplicates(spark, odd, none):
     assert exact_dedup.duplicates(none).count() == 0 and exact_dedup.drop_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_exact_dedup_against_brute_force(spark, bound):
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_exact_dedup_against_brute_force(spark, words):
     rng = random.Random(3)
     texts = ["p" * 300 + str(rng.randrange(40)) for _ in range(300)] + [prose(rng, 5) for _ in range(50)]
     docs = spark.createDataFrame(list(enumerate(texts)), DOC)
     first: dict[str, int] = {}
     want = {(i, first[t]) for i, t in enumerate(texts) if first.setdefault(t, i) != i}
-    assert {(r["doc_id"], r["kept_id"]) for r in exact_dedup.duplicates(docs, broadcast_groups=bound).collect()} == want
-    assert {r["doc_id"] for r in exact_dedup.drop_duplicates(docs, broadcast_groups=bound).collect()} == set(first.values())
+    assert {(r["doc_id"], r["kept_id"]) for r in exact_dedup.duplicates(docs, filter_words=words).collect()} == want
+    assert {r["doc_id"] for r in exact_dedup.drop_duplicates(docs, filter_words=words).collect()} == set(first.values())
+
+
+def exchanged(df) -> list[set[str]]:
+    """Names of the columns that each exchange of the final plan moves."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "Exchange" in plan
+    return [set(re.findall(r"(\w+)#\d+", inner)) for inner in re.findall(r"\) (?:Shuffle|Broadcast)?Exchange\n(?:Input|Output) \[\d+\]: \[(.*?)\]\n", text)]
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_exact_dedup_moves_no_text(spark, tmp_path, words):
+    """Texts stay where they are read, however full the filter is; dropping moves rows of surviving groups only."""
+    spark.createDataFrame([(i, f"{i % 7} text") for i in range(60)] + [(100 + i, "x" * i) for i in range(60)], DOC).write.parquet(str(tmp_path / "docs"))
+    found = exact_dedup.duplicates(spark.read.parquet(str(tmp_path / "docs")), filter_words=words)
+    moved = exchanged(found)
+    assert moved and not any("text" in names or "row" in names for names in moved)
+
+
+def test_members_let_all_keys_through(spark):
+    keys = spark.range(0, 4000, 7).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(4000).select("id", F.xxhash64("id").alias("h"))
+    passed = {r["id"] for r in common.members(rows, keys, words=1 << 12).collect()}
+    assert passed >= set(range(0, 4000, 7)) and len(passed) < 700
+    assert common.members(rows, keys.limit(0)).count() == 0
+    assert common.members(rows, keys, words=1).count() == 4000
 
 
 # ---------------------------------------------------------------- 3 quality
@@ -427,29 +455,3 @@ def test_near_duplicates_found_and_others_left(spark, odd, none):
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 1, 3, None, None, 4, 5, 6, 7, 8], key=str)
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
-
-
-# ---------------------------------------------------------------- 10 vantage-point trees
-
-
-@pytest.mark.parametrize(("factor", "least"), [(1.0, 1.0), (vptree.FACTOR, 0.9)])
-def test_neighbours_against_brute_force(spark, factor, least):
-    table = common.read(spark, "/root/testdata/sf0.001", "embeddings")
-    rows = table.select("vec_id", "embedding").collect()
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).round(6)
-    np.fill_diagonal(d, np.inf)
-    got: dict[int, set[int]] = {}
-    for r in vptree.nearest_neighbours(table, 10, factor, shard_rows=60).collect():
-        got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
-    want = {int(ids[i]): set(ids[np.lexsort((ids, d[i]))[:10]].tolist()) for i in range(len(ids))}
-    assert np.mean([len(got[i] & want[i]) / 10 for i in want]) >= least
-
-
-def test_neighbours_odd_cases(spark):
-    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [5.0, 5.0]), (3, [1.0, 0.0]), (4, None), (None, [1.0, 1.0]), (5, []), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0])]
-    got = vptree.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 2).collect()
-    assert {(r["vec_id"], r["neighbour_id"], r["rank"]) for r in got} == {(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2)}
-    assert vptree.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id long, embedding array<float>")
-    assert vptree.nearest_neighbours(same, 3).count() == 600
