@@ -7,6 +7,10 @@ that differs by at most one bit. Every piece is indexed once for each of its bit
 where a variant is equal: at all of them if their pieces are equal, at just one if these differ in one bit.
 
 Candidates are verified by the Hamming distance of the whole signatures. Every pair within ``max_distance`` is found.
+
+The greater the distance, the shorter are the pieces and the more signatures share a variant by chance: with distance 19
+the candidates are N * N / 60 or so for N distinct signatures: minutes of one CPU at 10**6, the greater part of the work
+beyond 10**7. ``max_distance=7, segments=4`` has variants of 31 bits and serves 10**10.
 """
 
 from __future__ import annotations
@@ -191,34 +195,58 @@ def _links(g: np.ndarray, other: np.ndarray, width: np.ndarray, high: np.ndarray
 
 #: Rows of complete groups that are searched at once.
 _CHUNK = 100_000
+#: Rows of a group that one task holds; larger groups are split into blocks and every two blocks meet.
+GROUP_ROWS = 200_000
+
+
+def _bits(high: np.ndarray, low: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Bits start to stop (exclusive) of signatures, as int64."""
+    mask = np.uint64((1 << (stop - start)) - 1)
+    if stop <= 64:
+        return ((high >> np.uint64(64 - stop)) & mask).view(np.int64)
+    if start >= 64:
+        return ((low >> np.uint64(128 - stop)) & mask).view(np.int64)
+    return (((high << np.uint64(stop - 64)) | (low >> np.uint64(128 - stop))) & mask).view(np.int64)
 
 
-def near_links(nodes: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE, min_ratio: float = MIN_RATIO) -> DataFrame:
+def near_links(nodes: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE, min_ratio: float = MIN_RATIO, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): edges whose connected components are those of all pairs of nodes (rep, n, high, low) that have signatures
     within max_distance and word counts within min_ratio.
 
     There are as many pieces as make every such pair share a variant, and segments at least.
 
-    Two pieces that differ in at most one bit agree in one of their halves. So a signature is sent once for each half
-    of each piece, to where all with the same half meet, and its variants (one bit of the other half deleted) are made
-    and matched there: two rows for each piece are exchanged for a signature instead of all its variants. What comes back is
-    a spanning forest, so a group of thousands of near copies gives as many edges and not as many as it has pairs.
+    Two pieces that differ in at most one bit agree in one of their halves. So the variants' index is laid out in two
+    levels: a signature is exchanged once for each half of each piece, to where all with the same half meet, and the
+    variants (one bit of the other half deleted) are matched for equality there. That is two rows for each piece instead
+    of one for each of its bits. Rows of a half that more than ``group_rows`` signatures share are dealt to blocks, and
+    every two blocks meet in a task of their own: no task holds more than two blocks, and no pair is left out. What comes
+    back is a spanning forest, so a group of thousands of near copies gives as many edges and not as many as it has pairs.
     """
     high, low = F.col("high"), F.col("low")
     segments = max(segments, max_distance // 2 + 1)
-    sent = []
-    for s, (start, middle, stop) in enumerate(_halves(segments)):
-        for half, (kept, other) in enumerate((((start, middle), (middle, stop)), ((middle, stop), (start, middle)))):
-            g = F.lit((2 * s + half) << 40).bitwiseOR(_take(high, low, *kept))
-            sent.append(F.struct(g.alias("g"), _take(high, low, *other).alias("other"), F.lit(other[1] - other[0]).alias("width")))
-    each = nodes.select("rep", "n", "high", "low", F.explode(F.array(*sent)).alias("e")).select("e.*", "rep", "n", "high", "low")
-    names = ("g", "other", "width", "rep", "n", "high", "low")
+    halves = [x for start, middle, stop in _halves(segments) for x in (((start, middle), (middle, stop)), ((middle, stop), (start, middle)))]
+    sent = [F.lit(k << 40).bitwiseOR(_take(high, low, *kept)) for k, (kept, _) in enumerate(halves)]
+    each = nodes.select("rep", "n", "high", "low", F.explode(F.array(*sent)).alias("g"))
+    # as many groups as halves have values, at most: the large ones among them are few
+    large = each.groupBy("g").count().filter(F.col("count") > group_rows).select("g", F.ceil(F.col("count") / group_rows).cast("long").alias("blocks"))
+    large = common.sized(common.checkpoint(large))
+    block, other = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.col("other")
+    met = each.join(large, "g", "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
+    pair = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.least(block, other) * F.col("blocks") + F.greatest(block, other))
+    names = ("g", "pair", "rep", "n", "high", "low")
+    met = met.select("g", pair.alias("pair"), "rep", "n", "high", "low")
 
     def search(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         c = {k: np.concatenate([h[k] for h in held]) for k in names}
         # a signature comes several times: its node is one
         rep, node = np.unique(c["rep"], return_inverse=True)
-        a, b = _links(c["g"], c["other"], c["width"], c["high"].view(np.uint64), c["low"].view(np.uint64), c["n"], max_distance, min_ratio)
+        high, low, half = c["high"].view(np.uint64), c["low"].view(np.uint64), c["g"] >> 40
+        rest, width = np.zeros(len(half), np.int64), np.zeros(len(half), np.int64)
+        for k in np.unique(half):
+            at, (start, stop) = np.flatnonzero(half == k), halves[k][1]
+            rest[at], width[at] = _bits(high[at], low[at], start, stop), stop - start
+        group = np.cumsum(np.r_[False, (c["g"][1:] != c["g"][:-1]) | (c["pair"][1:] != c["pair"][:-1])])
+        a, b = _links(group, rest, width, high, low, c["n"], max_distance, min_ratio)
         root = _forest(len(rep), node[a], node[b])
         linked = np.flatnonzero(root != np.arange(len(rep)))
         return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], names=["a", "b"])
@@ -231,7 +259,8 @@ def near_links(nodes: DataFrame, segments: int = SEGMENTS, max_distance: int = M
             columns = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             if size >= _CHUNK:
                 # the last group may go on in this batch
-                goes_on = int(np.searchsorted(columns["g"], held[-1]["g"][-1], side="right"))
+                ended = np.flatnonzero((columns["g"] != held[-1]["g"][-1]) | (columns["pair"] != held[-1]["pair"][-1]))
+                goes_on = int(ended[0]) if len(ended) else batch.num_rows
                 held.append({k: v[:goes_on] for k, v in columns.items()})
                 columns = {k: v[goes_on:] for k, v in columns.items()}
                 if goes_on == batch.num_rows:
@@ -244,7 +273,7 @@ def near_links(nodes: DataFrame, segments: int = SEGMENTS, max_distance: int = M
         if held:
             yield search(held)
 
-    return each.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
+    return met.repartition("g", "pair").sortWithinPartitions("g", "pair").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -282,7 +311,7 @@ def near_duplicates(
     within a chain it may be more than max_distance. Equal signatures of equal word counts are one node of
     the graph, so a group of any number of copies costs one node; of different counts they are several, under the same ratio. Documents without a word (null, empty, punctuation
     only) and documents with a null id are never in the result; a row repeated with the same id is one
-    document. An empty table gives an empty result.
+    document. Extra columns are ignored, whatever their names. An empty table gives an empty result.
     """
     signed = common.checkpoint(signatures(docs, id_col, text_col).filter("doc_id is not null"))
     nodes = signed.groupBy("high", "low", F.col("n_words").alias("n")).agg(F.min("doc_id").alias("rep"))
@@ -300,5 +329,7 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of docs without those of near_duplicates; rows with a null id, text or no word stay."""
+    """The rows of docs without those of near_duplicates; rows with a null id, text or no word stay.
+
+    Columns come back as they are, whatever their names; all rows of an id that goes go. An empty table stays empty."""
     return common.without_ids(docs, near_duplicates(docs, id_col, text_col, **parameters).select("doc_id"), id_col)

@@ -50,3 +50,34 @@ def test_word_counts_of_equal_signatures(spark):
     assert got == {(3, 2), (4, 1), (5, 2)}
     # within the ratio of each other they are near duplicates
     assert {(r["doc_id"], r["kept_id"]) for r in simhash.near_duplicates(docs, min_ratio=0.5).collect()} >= {(2, 1), (4, 1), (5, 1)}
+
+
+@pytest.mark.parametrize("group_rows", [7, 64, 10**6])
+def test_split_groups_lose_no_link(spark, group_rows):
+    """A third of all signatures near one another, in groups that are split into blocks."""
+    rng = np.random.default_rng(4)
+    rows, center = nodes(rng, 60, range(1, 20)), rng.integers(0, 2**64, 2, dtype=np.uint64)
+    for i in range(60):
+        x = center.copy()
+        for b in rng.choice(128, int(rng.integers(0, 10)), replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        rows.append((1000 + i, 100, *map(int, x.view(np.int64))))
+    table = spark.createDataFrame(rows, NODE)
+    got = {(r["node"], r["root"]) for r in simhash.components(simhash.near_links(table, group_rows=group_rows)).collect()}
+    h, n = np.array([r[2:] for r in rows], dtype=np.int64).view(np.uint64), np.full(len(rows), 100)
+    a, b = np.triu_indices(len(rows), 1)
+    ok = simhash._near(h[:, 0], h[:, 1], n, a, b, 19, 0.8)
+    root = simhash._forest(len(rows), a[ok], b[ok])
+    ids = np.array([r[0] for r in rows])
+    least = {k: int(ids[root == k].min()) for k in np.unique(root)}
+    size = np.bincount(root, minlength=len(rows))
+    assert got == {(int(ids[i]), least[root[i]]) for i in range(len(rows)) if size[root[i]] > 1}
+
+
+def test_bits_are_those_of_the_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, 1, *map(int, rng.integers(-(2**63), 2**63, 2))) for i in range(50)]
+    table, h = spark.createDataFrame(rows, NODE), np.array([r[2:] for r in rows], dtype=np.int64).view(np.uint64)
+    for start, stop in ((0, 5), (58, 64), (60, 71), (64, 70), (120, 128), (33, 64)):
+        want = [r[0] for r in table.orderBy("rep").select(simhash._take(table.high, table.low, start, stop)).collect()]
+        assert simhash._bits(h[:, 0], h[:, 1], start, stop).tolist() == want
