@@ -210,7 +210,8 @@ def brute_passages(docs: dict[int, str], n: int) -> dict[int, set[int]]:
     return {i: {p for k in range(len(w) - n + 1) if len(where[tuple(w[k : k + n])]) > 1 for p in range(k, k + n)} for i, w in split.items()}
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "group"), [(700, 10**6), (10**6, 10**6), (700, 100), (1, 0)])
+def test_repeats_against_brute_force(spark, block, group):
     rng = random.Random(11)
     shared = [prose(rng, n) for n in (50, 51, 49, 80, 200)]
     docs = {i: " ".join([prose(rng, rng.randrange(0, 60)), rng.choice(shared), prose(rng, rng.randrange(0, 60)), *([rng.choice(shared)] if i % 2 else [])]) for i in range(40)}
@@ -218,7 +219,7 @@ def test_repeats_against_brute_force(spark):
     docs[102] = "a b " * 100
     docs[103] = "a b " * 60
     got: dict[int, set[int]] = {i: set() for i in docs}
-    for r in repeats.repeated_passages(spark.createDataFrame(list(docs.items()), DOC), block_words=700).collect():
+    for r in repeats.repeated_passages(spark.createDataFrame(list(docs.items()), DOC), block_words=block, group_words=group).collect():
         assert r["n_words"] == r["end_word"] - r["start_word"] >= 50 and r["match_doc_id"] != r["doc_id"]
         got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
     assert got == brute_passages(docs, 50)
@@ -235,7 +236,7 @@ def test_repeats_odd_cases(spark, odd, none):
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.lists(st.integers(1, 5), min_size=1, max_size=20))
 def test_run_length_index_matching_statistics(text, pattern):
-    index = repeats.RunLengthIndex(np.array(text))
+    index = repeats.RunLengthIndex(np.array(text), keep_text=True)
     assert index.runs <= len(text) + 1
     for i, (length, place) in enumerate(index.matching_statistics(pattern)):
         best = max((k for k in range(len(pattern) - i + 1) if any(text[j : j + k] == pattern[i : i + k] for j in range(len(text) - k + 1))), default=0)
@@ -244,6 +245,31 @@ def test_run_length_index_matching_statistics(text, pattern):
             assert text[place : place + length] == pattern[i : i + length]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=2, max_size=80), st.integers(1, 6), st.integers(1, 30))
+def test_run_length_index_streams_its_own_matches(text, least, step):
+    """The stream links exactly the positions whose next ``least`` symbols are equal."""
+    links = [(int(a), int(b)) for x, y in repeats.RunLengthIndex(np.array(text)).stream(least, step) for a, b in zip(x, y, strict=True)]
+    windows: dict[tuple, set[int]] = {}
+    for i in range(len(text) - least + 1):
+        windows.setdefault(tuple(text[i : i + least]), set()).add(i)
+    root = {i: i for i in range(len(text))}
+    for a, b in links:
+        assert text[a : a + least] == text[b : b + least] and len(text[a : a + least]) == least
+        root = {k: root[b] if v == root[a] else v for k, v in root.items()}
+    assert all(len({root[i] for i in w}) == 1 for w in windows.values())
+
+
+def test_run_length_index_is_as_large_as_its_runs():
+    """A hundred copies of a text make the index hardly larger than one does, and the copies' windows are all linked."""
+    rng = np.random.default_rng(3)
+    once = rng.integers(0, 1000, 500)
+    held = lambda index: sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray))
+    one, many = repeats.RunLengthIndex(once), repeats.RunLengthIndex(np.tile(once, 100))
+    assert many.n > 90 * one.n and many.runs < 3 * one.runs and held(many) < 3 * held(one)
+    assert sum(len(a) for a, _ in many.stream(50)) >= 99 * 500 - 50
+
+
 # ---------------------------------------------------------------- 5 packing
 
 
