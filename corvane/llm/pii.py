@@ -4,17 +4,29 @@ A value is found by its shape, validated (check digits, calendar, number plan, o
 integer inside the set of valid values of its format, permuted by a Feistel network with cycle walking
 and written back in the same format. The permutation depends on the key and on the format only, so equal
 values get equal pseudonyms in every document, different values different ones, and the holder of the
-key can invert them. Digits that don't validate (a wrong check digit, 31 February) are not touched.
+key can invert them. Digits that don't validate (a wrong check digit, 31 February) are not touched. No
+value is too long to be found.
 
-Covered: card numbers (Luhn), IBANs (mod 97), US social security numbers, phone numbers, IPv4 addresses,
-dates (ISO, slashes, dots), e-mail addresses and the values of secrets (access key ids, password/token
-assignments).
+Covered:
+
+* card numbers (Luhn), IBANs (mod 97), US social security numbers, phone numbers, IPv4 and IPv6 addresses;
+* dates (ISO, slashes, dots): a day has one pseudonym in whatever form it is written;
+* e-mail addresses: the mailbox, whose domain stays;
+* secrets that are known by their form: access key ids (AKIA, ASIA), tokens with a vendor's prefix (``ghp_``, ``sk_live_``,
+  ``xoxb-``, ``AIza``, ``glpat-`` and the like), JSON web tokens (header stays, payload and signature change);
+* values assigned to password, passwd, pwd, passphrase, secret, token, api key, access key, private key and compounds of these:
+  anything in quotes, anything of 6 or more characters behind ``=``, and behind ``:`` a value of 6 or more that isn't a plain word
+  (a digit, a sign or capitals inside). So prose such as "the secret: everything" stays.
+
+Letters of a secret stay letters of their case, digits digits, other characters themselves.
 """
 
 from __future__ import annotations
 
+import base64
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -36,11 +48,15 @@ class Feistel:
     def __init__(self, key: bytes, tweak: str, size: int):
         self.size, self.half = size, max(1, ((size - 1).bit_length() + 1) // 2)
         self.mask, self.width = (1 << self.half) - 1, (self.half + 7) // 8
-        self.key, self.tweak = hashlib.blake2b(key, digest_size=32).digest(), tweak.encode()[:200]
+        self.key, self.tweak = hashlib.blake2b(key, digest_size=32).digest(), tweak.encode()
 
     def _f(self, i: int, x: int) -> int:
-        h = hashlib.blake2b(self.tweak + b"\0" + bytes([i]) + x.to_bytes(self.width, "big"), key=self.key, digest_size=min(64, self.width + 8))
-        return int.from_bytes(h.digest(), "big") & self.mask
+        data = self.tweak + b"\0" + bytes([i]) + x.to_bytes(self.width, "big")
+        if self.width <= 56:
+            h = hashlib.blake2b(data, key=self.key, digest_size=self.width + 8).digest()
+        else:  # as many bytes as the half is wide
+            h = hashlib.shake_256(self.key + data).digest(self.width + 8)
+        return int.from_bytes(h, "big") & self.mask
 
     def _step(self, x: int, forward: bool) -> int:
         left, right = x >> self.half, x & self.mask
@@ -78,30 +94,42 @@ _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 _HEX, _HEXU, _ALNUM = "0123456789abcdef", "0123456789ABCDEF", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _EPOCH, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+#: Characters that are permuted as one value; longer ones are permuted in blocks of so many.
+BLOCK = 256
+
+_NAME = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret)"
+_PREFIX = (
+    r"gh[pousr]_|github_pat_|glpat-|[spr]k_(?:live|test)_|whsec_|xox[abeoprs]-|AIza|ya29\.|npm_|pypi-|dop_v1_|hf_|shpat_|SG\.|sk-(?:[a-z]+-)*"
+)
 PATTERN = re.compile(
-    r"""
-    (?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])
-      |(?i:\b(?:password|passwd|secret|token|api_?key)["']?[ ]?[=:][ ]?["']?)[A-Za-z0-9]{8,128}(?![A-Za-z0-9]))
-    |(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<phone>(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])
-      |(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])
-      |(?<![\w(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![\w-]))
-    |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\w]))
-    |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]))
-    |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-    |(?P<slash>(?<![\w/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![\w/]))
-    |(?P<dot>(?<![\w.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![\w]))
-    |(?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<wide>[ -])[0-9]{6}(?P=wide)[0-9]{4,5})(?![\w]))
+    rf"""
+    (?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Za-z0-9]))
+    |(?P<jwt>(?<![\w-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![\w-]))
+    |(?P<vendor>(?<![\w-])(?P<prefix>{_PREFIX})[A-Za-z0-9_.-]{{15,}}[A-Za-z0-9_-])
+    |(?P<assigned>(?<![A-Za-z])(?i:{_NAME})["']?[ ]*(?:(?P<quoted>[:=][ ]*["'])(?P<inside>[^"'\s][^"'\r\n]*)(?=["'])|(?P<equals>=[ ]*)(?P<bare>[^\s"'<>,;&=]{{6,}})|(?P<colon>:[ ]*)(?P<odd>[^\s"'<>,;&=]{{6,}})))
+    |(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{{2,}}(?![A-Za-z0-9]))
+    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
+    |(?P<phone>(?<![\w+])\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])
+      |(?<![\w+])\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{1,4}}\)?(?:[ .-]?[0-9]{{2,4}}){{2,4}}(?![0-9]|[.:/-][0-9])
+      |(?<![\w(])\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[.-][0-9]{{4}}(?![\w-]))
+    |(?P<ip>(?<![\w.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?!\.?[\w]))
+    |(?P<six>(?<![\w:.])(?:[0-9A-Fa-f]{{1,4}}:){{2,7}}(?::?[0-9A-Fa-f]{{1,4}})(?::[0-9A-Fa-f]{{1,4}})*(?![\w:]|\.[0-9])|(?<![\w:.])[0-9A-Fa-f]{{1,4}}::(?:[0-9A-Fa-f]{{1,4}}:)*[0-9A-Fa-f]{{1,4}}(?![\w:]|\.[0-9]))
+    |(?P<iso>(?<![\w-])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![0-9-]))
+    |(?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
+    |(?P<slash>(?<![\w/])[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}(?![\w/]))
+    |(?P<dot>(?<![\w.])[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}(?![\w]))
+    |(?P<card>(?<![\w-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<gap>[ -])[0-9]{{4}}(?P=gap)[0-9]{{4}}(?P=gap)[0-9]{{1,7}}|[0-9]{{4}}(?P<wide>[ -])[0-9]{{6}}(?P=wide)[0-9]{{4,5}})(?![\w]))
     """,
     re.VERBOSE | re.ASCII,
 )
-_KINDS = ("email", "card", "phone", "secret", "ip", "iban", "iso", "ssn", "slash", "dot")
+_KINDS = ("email", "card", "phone", "assigned", "secret", "vendor", "jwt", "ip", "six", "iban", "iso", "ssn", "slash", "dot")
 #: A text without any of these holds nothing that PATTERN finds.
-_HINT = re.compile(r"[0-9@]|AKIA|ASIA|password|passwd|secret|token|api_?key", re.IGNORECASE)
+_HINT = re.compile(r"[0-9@]|AKIA|ASIA|eyJ|[_.-](?=[A-Za-z0-9_.-]{15})|::|passw|pwd|passphrase|secret|token|key", re.IGNORECASE)
+#: A value behind a colon that is more than a plain word.
+_ODD = re.compile(r"[0-9]|[a-z][A-Z]|[A-Za-z0-9][^A-Za-z0-9\s]+[A-Za-z0-9]")
 
 
-_RUN = re.compile(r"[^A-Za-z0-9]*[A-Za-z0-9]+")
+_RUN = re.compile(r"[^A-Za-z0-9]*[A-Za-z0-9]*")
 _SEPARATOR = re.compile(r"[ .-]")
 
 
@@ -139,16 +167,21 @@ class Pseudonymiser:
         return str(self._permute(f"{tweak}{n}", 10**n, int(digits), check)).zfill(n)
 
     def _characters(self, tweak: str, text: str, alphabets: list[str]) -> str:
-        """Permutes text among the strings whose i-th character is of the i-th alphabet."""
-        x, size = 0, 1
-        for c, a in zip(text, alphabets, strict=True):
-            x, size = x * len(a) + a.index(c), size * len(a)
-        shape = hashlib.blake2b("|".join(alphabets).encode(), digest_size=8).hexdigest()
-        x, out = self._permute(f"{tweak}{shape}", size, x), []
-        for a in reversed(alphabets):
-            x, r = divmod(x, len(a))
-            out.append(a[r])
-        return "".join(reversed(out))
+        """Permutes text among the strings whose i-th character is of the i-th alphabet, BLOCK characters at once."""
+        out = []
+        for lo in range(0, len(text), BLOCK):
+            some, part = alphabets[lo : lo + BLOCK], []
+            x, size = 0, 1
+            for c, a in zip(text[lo : lo + BLOCK], some, strict=True):
+                x, size = x * len(a) + a.index(c), size * len(a)
+            if size > 1:
+                shape = hashlib.blake2b("|".join(some).encode(), digest_size=8).hexdigest()
+                x = self._permute(f"{tweak}{lo or ''}{shape}", size, x)
+            for a in reversed(some):
+                x, r = divmod(x, len(a))
+                part.append(a[r])
+            out += reversed(part)
+        return "".join(out)
 
     def _by_class(self, tweak: str, text: str) -> str:
         """Letters stay letters of their case, digits digits, anything else itself."""
@@ -195,12 +228,27 @@ class Pseudonymiser:
         x = self._permute("ip", 1 << 32, int.from_bytes(bytes(map(int, octets)), "big"))
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _day(self, m: str, order: str, ambiguous: bool = False) -> str | None:
+    def six(self, m: str) -> str | None:
+        try:
+            address = ipaddress.IPv6Address(m)
+        except ValueError:
+            return None
+        # pairs of words with a double colon between are code, and loopback is nobody's
+        if not any(c.isdigit() for c in m) or m.count(":") < 3 and "::" in m and not m[0].isdigit() and not m.startswith(("fe80", "fc", "fd")) or int(address) < 2:
+            return None
+        new = ipaddress.IPv6Address(self._permute("ip6", 1 << 128, int(address), lambda x: x > 1))
+        text = str(new)
+        return text.upper() if m != m.lower() else text
+
+    def _day(self, m: str, order: str) -> str | None:
+        """The same day has the same pseudonym in all forms. Days up to the 12th stay such, the others others, so that
+        what can be read month first or day first goes on being read the same way."""
         day = _date(m, order)
         if day is None:
             return None
-        valid = (lambda x: datetime.date.fromordinal(_EPOCH + x).day > 12) if ambiguous else None
-        new = datetime.date.fromordinal(_EPOCH + self._permute(f"date{ambiguous}", _LAST - _EPOCH + 1, day.toordinal() - _EPOCH, valid))
+        late = day.day > 12
+        x = self._permute("date", _LAST - _EPOCH + 1, day.toordinal() - _EPOCH, lambda x: (datetime.date.fromordinal(_EPOCH + x).day > 12) == late)
+        new = datetime.date.fromordinal(_EPOCH + x)
         separator = re.search(r"[-/.]", m)[0]
         padded = bool(re.search(r"(?<![0-9])0", m)) or all(len(p) > 1 for p in re.split(r"[-/.]", m))
         form = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
@@ -213,8 +261,8 @@ class Pseudonymiser:
         return self._day(m, "dmy")
 
     def slash(self, m: str) -> str | None:
-        """Month first where that is a date, else day first; a day-first date stays one that can't be read otherwise."""
-        return self._day(m, "mdy") or self._day(m, "dmy", ambiguous=True)
+        """Month first where that is a date, else day first."""
+        return self._day(m, "mdy") or self._day(m, "dmy")
 
     def iban(self, m: str) -> str | None:
         text = m.replace(" ", "")
@@ -233,15 +281,38 @@ class Pseudonymiser:
         local, _, domain = m.rpartition("@")
         return f"{self._by_class('email', local)}@{domain}"
 
-    def secret(self, m: str) -> str | None:
-        if m[:4] in ("AKIA", "ASIA") and len(m) == 20:
-            return m[:4] + self._characters("key", m[4:], [_ALNUM] * 16)
-        value = re.search(r"[A-Za-z0-9]+$", m)[0]
-        head = m[: len(m) - len(value)]
+    def secret(self, m: str) -> str:
+        return m[:4] + self._characters("key", m[4:], [_ALNUM] * 16)
+
+    def _secret(self, value: str) -> str:
         for alphabet in (_HEX, _HEXU):
             if any(c.isdigit() for c in value) and all(c in alphabet for c in value):
-                return head + self._characters("hex", value, [alphabet] * len(value))
-        return head + self._by_class("secret", value) if any(c.isdigit() for c in value) else None
+                return self._characters("hex", value, [alphabet] * len(value))
+        return self._by_class("secret", value)
+
+    def vendor(self, m: str, prefix: str) -> str | None:
+        value = m[len(prefix) :]
+        return prefix + self._secret(value) if any(c.isdigit() for c in value) else None
+
+    def jwt(self, m: str) -> str | None:
+        head, payload, signature = m.split(".")
+        try:
+            if not base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)).startswith(b"{"):
+                return None
+        except ValueError:
+            return None
+        return ".".join([head, self._by_class("jwt", payload), self._by_class("jwt", signature)])
+
+    def assigned(self, m: str, value: str, plain: bool) -> str | None:
+        """m, which ends in value; plain: a mere word isn't taken for a secret."""
+        if plain and not _ODD.search(value) or not re.search(r"[A-Za-z0-9]", value):
+            return None
+        own = PATTERN.fullmatch(value)  # a secret of a known form has the pseudonym that it has elsewhere
+        if own and own["vendor"]:
+            new = self.vendor(value, own["prefix"])
+        else:
+            new = self.secret(value) if own and own["secret"] else self.jwt(value) if own and own["jwt"] else None
+        return m[: len(m) - len(value)] + (new or self._secret(value))
 
     def replace(self, text: str) -> tuple[str, int]:
         """(text with pseudonyms, how many values were replaced)."""
@@ -251,13 +322,22 @@ class Pseudonymiser:
         while match := PATTERN.search(text, at):
             kind, found = next(k for k in _KINDS if match[k] is not None), match[0]
             start = match.start()
-            new = None
-            for part in _parts(found) if kind in ("phone", "iban") else (found,):
-                new = getattr(self, kind)(part)
-                if new is not None:
-                    break
+            new, part = None, found
+            if kind == "assigned":
+                value = match["inside"] or match["bare"] or match["odd"]
+                if match["inside"] is None:  # what ends a sentence isn't part of the value
+                    value = value.rstrip(".,:!?)]}")
+                    part = found[: len(found) - len(match["bare"] or match["odd"]) + len(value)]
+                new = self.assigned(part, value, match["odd"] is not None) if len(value) >= (1 if match["inside"] else 6) else None
+            elif kind == "vendor":
+                new = self.vendor(found, match["prefix"])
+            else:
+                for part in _parts(found) if kind in ("phone", "iban") else (found,):
+                    new = getattr(self, kind)(part)
+                    if new is not None:
+                        break
             if new is None:  # behind the first run of letters and digits of a spaced form another value may begin
-                at = start + (_RUN.match(found).end() if kind in ("phone", "iban", "card", "secret") else len(found))
+                at = start + (_RUN.match(found).end() if kind in ("phone", "iban", "card", "assigned", "vendor", "jwt", "six") else len(found))
                 continue
             out += [text[done:start], new]
             done = at = start + len(part)
@@ -289,7 +369,10 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text",
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """docs with the same columns; n_chars, where it is a column, is the length of the new text."""
+    """docs with the same columns; n_chars, where it is a column, is the length of the new text.
+
+    Every row comes back; null texts and their n_chars stay; other columns stay whatever their names; an empty table
+    stays empty."""
     out = pseudonymise(docs, key, count_col=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
