@@ -1,29 +1,29 @@
 """BPE encoding and decoding over a distinct-word table.
 
-Texts are split into words in Spark by the tokenizer's own pattern; merges never cross those words. The distinct
-words of every input partition meet by word, each distinct word of the corpus is encoded once, and its ids return
-to the partitions that have it: a table (part, word, ids), written to the shared checkpoint folder and laid out by
-partition. A second pass over the texts joins the ids back by position from its own partition's part of the table.
-So neither texts nor ids of documents are exchanged, only (partition, distinct word) pairs, and nothing is broadcast.
+Texts are split into words in Spark by the tokenizer's own pattern; merges never cross those words. Encoding:
 
-The second pass counts on the scan making the same partitions again. A word that its part lacks, as when a file system
-lists files in another order, is encoded on the spot: that costs time and changes no result.
+1. The documents of a partition become chunks of about ``CHUNK_WORDS`` words: the chunk's distinct words, each of which has
+   a slot, and for every document the slots of its words in order. Chunks are checkpointed, compressed.
+2. (slot, word) pairs of all chunks are exchanged by word and sorted. Equal words are neighbours then, and each distinct word
+   of the corpus is encoded once, where it first comes.
+3. Ids go back to their slots and chunks to the same place, by chunk; the ids are joined back by position. A slot
+   without ids is an error, so nothing is ever encoded twice or left out in silence.
 
-Decoding is no join: ids take their pieces by position from the vocabulary, which every task holds. The bytes of all pieces of a batch are gathered at
-once, and every text is the span of bytes from its first to its last id.
+So of documents only slots move (a byte or two a word), and nothing is broadcast.
+
+Decoding is the mirror image: rows become chunks with their distinct ids, these are joined with the table (id, piece) of the
+vocabulary, and the pieces are joined back by position. The table is broadcast if it is small (counted) and exchanged
+otherwise. A broadcast join keeps the order of its rows, so then texts are put together without any exchange.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as ds
-import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,176 +48,207 @@ def _ids(encoding, words: list[str]) -> list[list[int]]:
     return out
 
 
-#: Pairs that a task gathers before it sends them to their partitions.
-GATHER = 2_000_000
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, word) of each distinct word of a partition."""
-    part, seen, fresh, size = None, None, [], 0
+#: Words of a chunk: a document is never cut. A chunk is held by one task, with its distinct words' ids.
+CHUNK_WORDS = 4_000_000
+#: Bits of the number of a slot, of the number of a chunk in its partition, and of the partition.
+_SLOT, _IN_PART, _PART = 28, 14, 21
 
-    def merged() -> pa.Array:
-        return pc.unique(pa.chunked_array([*([seen] if seen is not None else []), *fresh]))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = batch.column("part")[0].as_py()
-        fresh.append(pc.unique(batch.column("words").flatten()))
-        size += len(fresh[-1])
-        if size > max(GATHER // 4, 0 if seen is None else len(seen)):
-            seen, fresh, size = merged(), [], 0
-    if part is None:
-        return
-    found = merged()
-    for lo in range(0, len(found), 50_000):
-        some = found.slice(lo, 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), some], names=["part", "word"])
-
-
-def _entries(part: np.ndarray, word: pa.Array, encoding) -> Iterator[tuple[int, bytes]]:
-    """(part, compressed table of word and ids) of every part, each distinct word being encoded once."""
-    coded = word.dictionary_encode()
-    ids = pa.array(_ids(encoding, coded.dictionary.to_pylist()), pa.list_(pa.int32()))
-    order = np.argsort(part, kind="stable")
-    bounds = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
-    which = np.asarray(coded.indices)[order]
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        take = pa.array(which[lo:hi])
-        table = pa.table({"word": coded.dictionary.take(take), "ids": ids.take(take)})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=options) as out:
-            out.write_table(table)
-        yield int(part[order[lo]]), sink.getvalue().to_pybytes()
+def _blob(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def word_table(parted: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> str:
-    """Writes (part, entries) of a table (part, words), words being arrays; returns the folder. entries are compressed tables.
+def _table(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
 
-    Words are made distinct in their partition before they are exchanged; equal words meet in one task and are encoded
-    once; what returns to a partition travels as one compressed table for each task that it comes from.
-    """
-    pairs = parted.select("part", "words").mapInArrow(_distinct, "part int, word string").repartition("word").sortWithinPartitions("word")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokens.byte_bpe(tokenizer)
-        held: list[pa.RecordBatch] = []
-        size = 0
+def _chunk(held: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
+    """One row (chunk, n_words, slots, words): the last two are compressed tables (doc_id, slots) and (word)."""
+    docs = pa.Table.from_batches(held).combine_chunks()
+    lists = docs.column("words").chunk(0)
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    slots = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), coded.indices.cast(pa.int32()), mask=lists.is_null() if lists.null_count else None)
+    if len(coded.dictionary) >= 1 << _SLOT:
+        raise ValueError("too many distinct words in one document")
+    blobs = [_blob(pa.table({"doc_id": docs.column("doc_id"), "slots": slots})), _blob(pa.table({"word": coded.dictionary}))]
+    return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(coded.dictionary)], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs]], names=["chunk", "n_words", "slots", "words"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            for part, entries in _entries(table.column("part").to_numpy(), table.column("word").chunk(0), encoding):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([entries], pa.binary())], names=["part", "entries"])
 
+def _chunks(chunk_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, name, part = [], 0, 0, None
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= GATHER:
-                yield from flush()
-                held, size = [], 0
+            for piece in _slices(batch, batch.column("words"), chunk_words):
+                if part is None:
+                    part = piece.column("part")[0].as_py()
+                held.append(piece.select(["doc_id", "words"]))
+                size += len(piece.column("words").flatten())
+                if size >= chunk_words:
+                    yield _chunk(held, (part << _IN_PART) + name)
+                    held, size, name = [], 0, name + 1
+                if name >> _IN_PART or part >> _PART:
+                    raise ValueError("too many chunks in a partition, or partitions")
         if held:
-            yield from flush()
+            yield _chunk(held, (part << _IN_PART) + name)
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, word) of every slot; at holds the chunk in its upper bits."""
+    for batch in batches:
+        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("words"), strict=True):
+            words = _table(blob).column("word").combine_chunks()
+            for lo in range(0, len(words), 50_000):
+                some = words.slice(lo, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(some)) + (chunk << _SLOT)), some], names=["at", "word"])
 
-    folder = f"{common.ensure_checkpoint_dir(parted.sparkSession)}/bpe-words-{uuid.uuid4().hex}"
-    encoded = pairs.mapInArrow(encode, "part int, entries binary")
-    encoded.repartition("part").write.partitionBy("part").option("compression", "none").parquet(folder)
-    return folder
+
+def _encode_words(tokenizer: str):
+    """(at, ids) of pairs that come sorted by word; ids are packed as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, last, last_ids = tokens.byte_bpe(tokenizer), None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            # the first word of a batch may be the last of the batch before
+            known = [last_ids] if words[0] == last else []
+            lists = known + _ids(encoding, words[len(known) :])
+            last, last_ids = words[-1], lists[-1]
+            ends = np.r_[0, np.cumsum([4 * len(x) for x in lists])].astype(np.int32)
+            flat = np.fromiter((i for x in lists for i in x), np.int32)
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), ids.take(coded.indices)], names=["at", "ids"])
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) from a stream sorted by (chunk, at): of every chunk first the ids of its slots, then its documents."""
+    sizes, data, now = [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunks = batch.column("at").to_numpy() >> _SLOT
+        docs = np.flatnonzero(np.asarray(batch.column("slots").is_valid()))
+        cuts = np.unique(np.r_[0, np.flatnonzero(chunks[1:] != chunks[:-1]) + 1, docs, docs + 1, batch.num_rows])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if chunks[lo] != now:
+                sizes, data, now = [], [], chunks[lo]
+            row = batch.slice(lo, hi - lo)
+            if not row.column("slots").is_valid()[0].as_py():
+                ids = row.column("ids")
+                sizes.append(np.asarray(pc.binary_length(ids)) // 4)
+                offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+                data.append(np.frombuffer(ids.buffers()[2], np.int32, count=int(offsets[-1] - offsets[0]) // 4, offset=int(offsets[0])))
+                continue
+            starts = np.r_[0, np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))].astype(np.int64)
+            if len(starts) - 1 != row.column("n_words")[0].as_py():
+                raise RuntimeError("slots of a chunk have no ids")
+            flat = np.concatenate([*data, np.zeros(0, np.int32)])
+            for piece in _table(row.column("slots")[0]).to_batches():
+                for some in _slices(piece, piece.column("slots")):
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), _gather(some.column("slots"), starts, flat)], names=["doc_id", "ids"])
 
 
-def _part(folder: str, part: int) -> pa.Table:
-    """(word, ids) of one partition; empty if there is none."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (pyarrow.fs.LocalFileSystem(), folder)
-    path = f"{path}/part={part}"
-    empty = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
-        return empty
-    entries = ds.dataset(path, schema=pa.schema([("entries", pa.binary())]), filesystem=fs, format="parquet").to_table().column("entries")
-    return pa.concat_tables([empty, *[pa.ipc.open_stream(e.as_buffer()).read_all() for e in entries]]).combine_chunks()
+def _gather(column: pa.Array, starts: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """Lists of slots as lists of ids: those of slot s are flat[starts[s] : starts[s + 1]]."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    where = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
+    size = starts[where + 1] - starts[where]
+    ends = np.r_[0, np.cumsum(size)]
+    ids = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[where], size)]
+    return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(ids, pa.int32()), mask=column.is_null() if column.null_count else None)
 
 
 #: Words or ids of a batch that are worked on at once.
 SLICE = 300_000
 
 
-def _slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE list elements, one row at least."""
+def _slices(batch: pa.RecordBatch, column: pa.Array, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many list elements, one row at least."""
     bounds = np.asarray(column.offsets).astype(np.int64)
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + most, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
 
-class _Lookup:
-    """Ids of words, from a table; what it lacks is encoded once and kept."""
-
-    def __init__(self, table: pa.Table, tokenizer: str):
-        self.encoding = tokens.byte_bpe(tokenizer)
-        self.known = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        lists = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        self.flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-
-    def add(self, words: pa.Array) -> None:
-        more = _ids(self.encoding, words.to_pylist())
-        self.known = pa.concat_arrays([self.known, words.cast(self.known.type)])
-        self.flat = np.r_[self.flat, np.fromiter((i for ids in more for i in ids), np.int32)]
-        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(ids) for ids in more])]
-
-    def __call__(self, column: pa.Array) -> pa.Array:
-        offsets = np.asarray(column.offsets).astype(np.int64)
-        values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets -= offsets[0]
-        coded = values.dictionary_encode()  # each distinct word of the batch is looked up once
-        words = coded.dictionary.cast(self.known.type)
-        found = pc.index_in(words, value_set=self.known)
-        if found.null_count:
-            self.add(words.filter(pc.is_null(found)))
-            found = pc.index_in(words, value_set=self.known)
-        where = found.to_numpy(zero_copy_only=False).astype(np.int64)[np.asarray(coded.indices)]
-        size = self.starts[where + 1] - self.starts[where]
-        ends = np.r_[0, np.cumsum(size)]
-        ids = self.flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[where], size)]
-        out = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(ids, pa.int32()))
-        return pc.if_else(column.is_null(), pa.scalar(None, out.type), out) if column.null_count else out
-
-
-def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, ids) of every row, repeated rows included; null ids for a null text, none for an empty one.
 
     tokenizer: a tiktoken rank file of a byte-level vocabulary that splits by ``tokens.PATTERN``. An empty table gives
-    an empty result; extra columns are ignored. docs is read twice, so it should be a scan or something as cheap.
+    an empty result; extra columns are ignored, whatever their names.
     """
     words = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("words"))
-    folder = word_table(words, tokenizer)
+    chunks = common.checkpoint(words.mapInArrow(_chunks(chunk_words), "chunk long, n_words long, slots binary, words binary"))
+    # the work is by the word, not by the byte that moves: as many tasks as read the texts
+    tasks = min(chunks.rdd.getNumPartitions(), 10_000)
+    pairs = chunks.select("chunk", "words").mapInArrow(_pairs, "at long, word string").repartition(tasks, "word").sortWithinPartitions("word")
+    ids = pairs.mapInArrow(_encode_words(tokenizer), "at long, ids binary")
+    none = F.lit(None).cast("binary")
+    # the documents of a chunk come behind all its slots
+    documents = chunks.select((F.shiftleft("chunk", _SLOT) + ((1 << _SLOT) - 1)).alias("at"), none.alias("ids"), "slots", "n_words")
+    both = ids.select("at", "ids", none.alias("slots"), F.lit(None).cast("long").alias("n_words")).unionByName(documents)
+    return both.repartition(tasks, F.shiftright("at", _SLOT)).sortWithinPartitions("at").mapInArrow(_joined, "doc_id long, ids array<int>")
+
+
+def vocabulary(spark: SparkSession, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
+    """(id, piece): the bytes that each id stands for."""
+    ranks = tokens.ranks(tokenizer)
+    table = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
+    return spark.createDataFrame(table)
+
+
+def _packed(kept: list[str], chunk_tokens: int):
+    """(chunk, ids, payload): the distinct ids of some rows, and the rows as a table whose column ids has their slots."""
+    at = kept.index("ids")
+
+    def one(held: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("ids").chunk(0)
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        slots = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), coded.indices.cast(pa.int32()), mask=lists.is_null() if lists.null_count else None)
+        sink = pa.BufferOutputStream()
+        table = table.select(kept).set_column(at, "ids", slots)
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), ids, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, look_up = None, None
+        held, size, name, part = [], 0, 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if part is None:
-                part = batch.column("part")[0].as_py()
-                look_up = _Lookup(_part(folder, part), tokenizer)
-            for piece in _slices(batch, batch.column("words")):
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), look_up(piece.column("words"))], names=["doc_id", "ids"])
+            for piece in _slices(batch, batch.column("ids"), chunk_tokens):
+                part = piece.column("__part")[0].as_py()
+                held.append(piece)
+                size += len(piece.column("ids").flatten())
+                if size >= chunk_tokens:
+                    yield one(held, (part << 32) + name)
+                    held, size, name = [], 0, name + 1
+        if held:
+            yield one(held, (part << 32) + name)
 
-    return words.mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
 def _texts(column: pa.Array, listed: pa.Array) -> pa.Array:
-    """The texts of lists of ids; the last of the listed pieces is empty and stands for unknown ids."""
+    """The texts of lists of slots of listed; the last one is empty and stands for nulls."""
     bounds = np.asarray(column.offsets).astype(np.int64)
-    ids = column.values.slice(bounds[0], bounds[-1] - bounds[0]).fill_null(-1).to_numpy(zero_copy_only=False)
-    ids = np.where((ids < 0) | (ids >= len(listed) - 1), len(listed) - 1, ids)
-    pieces = listed.take(pa.array(ids, pa.int64()))
-    ends = np.frombuffer(pieces.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-    data = pieces.buffers()[2] if len(ids) else pa.py_buffer(b"")
-    spans = ends[bounds - bounds[0]]
-    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(spans.tobytes()), data])
+    slots = column.values.slice(bounds[0], bounds[-1] - bounds[0]).fill_null(len(listed) - 1)
+    pieces = listed.take(slots)
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[: len(slots) + 1] if len(slots) else np.zeros(1, np.int64)
+    data = pieces.buffers()[2] if len(slots) else pa.py_buffer(b"")
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends[bounds - bounds[0]].tobytes()), data])
     try:
         text = raw.cast(pa.large_string()).cast(pa.string())
     except pa.ArrowInvalid:
@@ -225,24 +256,55 @@ def _texts(column: pa.Array, listed: pa.Array) -> pa.Array:
     return pc.if_else(column.is_null(), pa.scalar(None, pa.string()), text) if column.null_count else text
 
 
-def decode(encoded: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
-    """encoded, which has a column ids, with a column text: what the ids stand for; null for null ids.
-
-    Unknown ids give nothing. A character may be spread over several tokens, so bytes are put together before they are
-    read as UTF-8; faulty bytes become replacement characters. A column text that encoded has is replaced.
-    """
-    kept = [c for c in encoded.columns if c != "text"]
+def _spelt(kept: list[str]):
+    """The rows of each chunk with their texts, from a stream (chunk, pos, id, piece, payload) sorted within a chunk."""
     at = kept.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {i: b for b, i in tokens.ranks(tokenizer).items()}
-        listed = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)] + [b""], pa.large_binary())
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for piece in _slices(batch, batch.column(at)):
-                yield pa.RecordBatch.from_arrays([*piece.columns, _texts(piece.column(at), listed)], names=[*kept, "text"])
+            cuts = [0, *(np.flatnonzero(np.asarray(batch.column("payload").is_valid())) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                held.append(batch.slice(lo, hi - lo))
+                payload = held[-1].column("payload")[hi - lo - 1]
+                if not payload.is_valid:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                held = []
+                ids = table.column("id").chunk(0)
+                listed = pa.concat_arrays([table.column("piece").chunk(0).fill_null(b"").cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
+                for rows in _table(payload).to_batches():
+                    for some in _slices(rows, rows.column(at)):
+                        lists = some.column(at)
+                        offsets = np.asarray(lists.offsets).astype(np.int64)
+                        values = ids.take(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
+                        back = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), values, mask=lists.is_null() if lists.null_count else None)
+                        columns = [*some.columns[:at], back, *some.columns[at + 1 :], _texts(lists, listed)]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*kept, "text"])
+
+    return run
+
+
+def decode(encoded: DataFrame, tokenizer: str = tokens.BYTE_BPE, broadcast_rows: int = common.BROADCAST_ROWS, chunk_tokens: int = CHUNK_WORDS) -> DataFrame:
+    """encoded, which has a column ids, with a column text: what the ids stand for; null for null ids.
 
-    narrow = encoded.select(*[common.col(c) for c in kept])
-    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields, T.StructField("text", T.StringType())]))
+    Unknown and null ids give nothing. A character may be spread over several tokens, so bytes are put together before they
+    are read as UTF-8; faulty bytes become replacement characters. A column text that encoded has is replaced; other
+    columns come back as they are, whatever their names. An empty table gives an empty result.
+    """
+    kept = [c for c in encoded.columns if c != "text"]
+    rows = encoded.select(*[common.col(c) if c != "ids" else F.col("ids").cast("array<int>").alias("ids") for c in kept])
+    packed = rows.withColumn("__part", F.spark_partition_id()).mapInArrow(_packed(kept, chunk_tokens), "chunk long, ids array<int>, payload binary")
+    each = packed.select("chunk", F.size("ids").alias("n"), "payload", F.posexplode_outer("ids").alias("pos", "id"))
+    # the rows of a chunk travel with the last of its ids
+    each = each.select("chunk", "pos", "id", F.when(F.coalesce("pos", F.lit(-1)) == F.col("n") - 1, F.col("payload")).alias("payload"))
+    pieces, small = vocabulary(encoded.sparkSession, tokenizer), len(tokens.ranks(tokenizer)) <= broadcast_rows
+    met = each.join(F.broadcast(pieces) if small else pieces, "id", "left").select("chunk", "pos", "id", "piece", "payload")
+    if not small:
+        met = met.repartition("chunk").sortWithinPartitions("chunk", "pos")
+    return met.mapInArrow(_spelt(kept), T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:

@@ -380,33 +380,58 @@ def test_histogram_against_brute_force(spark, odd, none):
 # ---------------------------------------------------------------- 8 BPE
 
 
-def test_bpe_equals_the_tokenizer_and_round_trips(spark, odd, none):
+@pytest.mark.parametrize("chunk_words", [bpe.CHUNK_WORDS, 200])
+def test_bpe_equals_the_tokenizer_and_round_trips(spark, odd, none, chunk_words):
     encode = tokens.encoder(tokens.BYTE_BPE)
     docs = common.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     want = sorted((str(r["doc_id"]), str(r["text"] and encode(r["text"]))) for r in docs.collect())
-    coded = bpe.encode(docs)
+    coded = bpe.encode(docs, chunk_words=chunk_words)
     got = [(str(r["doc_id"]), str(list(r["ids"]) if r["ids"] else r["ids"] if r["ids"] is None else "")) for r in coded.collect()]
     assert sorted(got) == want
     back = bpe.decode(coded).collect()
     assert sorted(str(r["text"]) for r in back) == sorted(str(r["text"]) for r in docs.collect())
-    assert bpe.round_trip(none).count() == 0
+    clash = odd.withColumn("words", F.col("n")).withColumn("ids", F.col("n")).withColumn("part", F.col("n")).withColumn("at", F.col("n"))
+    assert bpe.encode(clash).count() == odd.count()
+    assert bpe.round_trip(none).count() == 0 and bpe.round_trip(odd).count() == odd.count()
 
 
-def test_bpe_survives_other_partitions(spark, monkeypatch):
-    """Words that the table lacks are encoded on the spot."""
-    docs = spark.createDataFrame([(i, f"hello wörld {i} again") for i in range(20)], DOC)
-    monkeypatch.setattr(bpe, "word_table", lambda *a: "/nonexistent")
-    encode = tokens.encoder(tokens.BYTE_BPE)
-    assert all(list(r["ids"]) == encode(f"hello wörld {r['doc_id']} again") for r in bpe.encode(docs).collect())
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    """Over batches that part equal words."""
+    import pyarrow as pa
+
+    seen: list[str] = []
+    ids = bpe._ids
+    monkeypatch.setattr(bpe, "_ids", lambda encoding, words: (seen.extend(words), ids(encoding, words))[1])
+    words = sorted(["a"] * 7 + [" the"] * 25 + ["Straße", "x9"] + ["hello"] * 11)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(w))), pa.array(w)], names=["at", "word"]) for i in range(0, len(words), 5) if (w := words[i : i + 5])]
+    got = [np.frombuffer(b, np.int32).tolist() for r in bpe._encode_words(tokens.BYTE_BPE)(iter(batches)) for b in r.column("ids").to_pylist()]
+    assert got == [tokens.encoder(tokens.BYTE_BPE)(w) for w in words]
+    assert sorted(seen) == sorted(set(words))
+
+
+def test_missing_slots_are_an_error():
+    import pyarrow as pa
+
+    docs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([["a", "b"]])], names=["doc_id", "words"])
+    slots = bpe._chunk([docs], 0).column("slots")
+    rows = pa.RecordBatch.from_arrays([pa.array([0, (1 << bpe._SLOT) - 1]), pa.array([b"\1\0\0\0", None]), pa.array([None, slots[0].as_py()], pa.binary()), pa.array([None, 2])], names=["at", "ids", "slots", "n_words"])
+    with pytest.raises(RuntimeError):
+        list(bpe._joined(iter([rows])))
 
 
 def test_decode_unknown_and_split_characters(spark):
     encode = tokens.encoder(tokens.BYTE_BPE)
     ids = encode("漢")
     assert len(ids) > 1
-    rows = spark.createDataFrame([(1, ids), (2, ids[:1]), (3, [10**8, -1]), (4, None), (5, [])], "doc_id long, ids array<int>")
-    got = {r["doc_id"]: r["text"] for r in bpe.decode(rows).collect()}
-    assert got[1] == "漢" and "�" in got[2] and got[3] == got[5] == "" and got[4] is None
+    data = [(1, ids, "a", 0, "x"), (2, ids[:1], None, 1, "x"), (3, [10**8, None, -1], "b", 2, None), (4, None, "c", 3, "x"), (5, [], "d", 4, "x"), (6, ids * 9000, "e", 5, "x")]
+    rows = spark.createDataFrame(data, "k long, ids array<int>, id string, pos int, text string")
+    for limit in (common.BROADCAST_ROWS, 0):
+        back = bpe.decode(rows, broadcast_rows=limit)
+        assert back.columns == ["k", "ids", "id", "pos", "text"]
+        got = {r["k"]: r for r in back.collect()}
+        assert got[1]["text"] == "漢" and "�" in got[2]["text"] and got[3]["text"] == got[5]["text"] == "" and got[4]["text"] is None and got[6]["text"] == "漢" * 9000
+        assert all((got[k]["ids"], got[k]["id"], got[k]["pos"]) == (i, d, p) for k, i, d, p, _ in data)
+    assert bpe.decode(rows.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- 9 SimHash
