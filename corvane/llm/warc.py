@@ -19,11 +19,9 @@ records of (page_id, url, html) tables. The work is one pass without a shuffle.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import io
-import os
 import re
 import uuid
 import zlib
@@ -47,16 +45,17 @@ RECORD = (
 DERIVED = "page_id long, refers_to string, source_block_digest string, source_payload_digest string, block_digest string, content_length long, " + RECORD
 
 _GONE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>",
+    r"<(?:!--.*?(?:-->|\Z)|(script|style|noscript|template|svg|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|!\[CDATA\[)|\]\]>",
     re.IGNORECASE | re.DOTALL,
 )
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*>)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
 _CHARSET = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.IGNORECASE)
 _HREF = re.compile(r"<a\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _HTTP_CHARSET = re.compile(r"charset\s*=\s*\"?([A-Za-z0-9_:.-]+)", re.IGNORECASE)
-_SPACES, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
+#: Runs of white space but for single blanks, which may stay as they are.
+_SPACES, _LINES = re.compile(r"(?: (?=[^\S\n])|[^\S\n ])[^\S\n]*"), re.compile(r" ?\n[ \n]*")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img input kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
 
@@ -138,7 +137,7 @@ def _payload(fields: list[tuple[str, str]], body: bytes) -> bytes:
 def _decode(body: bytes, fields: list[tuple[str, str]]) -> tuple[str, str]:
     """(text, charset): by the HTTP header, else the meta element, else UTF-8; faults become replacement characters."""
     said = _HTTP_CHARSET.search(_get(fields, "content-type") or "")
-    meta = None if said else _CHARSET.search(body[:4096])
+    meta = None if said else _CHARSET.search(body)
     charset = said[1] if said else meta[1].decode("ascii") if meta else "utf-8"
     try:
         return body.decode(charset, "replace"), charset.lower()
@@ -305,20 +304,36 @@ def page_derivatives(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 
+_END = b"\r\n\r\n"
+#: The type of rows that stand for what couldn't be read.
+DAMAGED = "damaged"
+
+
 def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """The bytes of one record. Content-Length is that of the block whatever the headers say."""
     kept = [(n, v) for n, v in headers if n.lower() != "content-length"]
     head = "".join(f"{n}: {v}\r\n" for n, v in [*kept, ("Content-Length", str(len(block)))])
-    return b"WARC/1.1\r\n" + head.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + head.encode("utf-8", "replace") + b"\r\n" + block + _END
+
+
+def _damaged(reason: str, rest: bytes = b"") -> tuple:
+    return None, DAMAGED, None, None, None, [("Error", reason)], rest
 
 
 def parse(data: io.BufferedIOBase) -> Iterator[tuple]:
-    """The records of an uncompressed stream, in the order of RECORD. Stops at the first record that is cut short."""
+    """The records of an uncompressed stream, in the order of RECORD.
+
+    What can't be read as a record ends the stream with a row of the type DAMAGED, whose only header says why and whose
+    block is what was read of it.
+    """
     while True:
         line = data.readline()
         while line in (b"\r\n", b"\n"):
             line = data.readline()
+        if not line:
+            return
         if not line.startswith(b"WARC/"):
+            yield _damaged("no version line", line)
             return
         named: list[tuple[str, str]] = []
         while (line := data.readline()) not in (b"\r\n", b"\n", b""):
@@ -330,60 +345,90 @@ def parse(data: io.BufferedIOBase) -> Iterator[tuple]:
             named.append((name.strip(), value.strip()))
         length = _get(named, "content-length")
         if line == b"" or length is None or not length.isdigit():
+            yield _damaged("header cut short" if line == b"" else "no length")
             return
         block = data.read(int(length))
         if len(block) < int(length):
+            yield _damaged("block cut short", block)
             return
         yield (_get(named, "warc-record-id"), _get(named, "warc-type"), _get(named, "warc-target-uri"), _get(named, "warc-date"), _get(named, "content-type"), named, block)
 
 
+class _Members(io.RawIOBase):
+    """The bytes of gzip members, one after the other; ends at the first damage and says in ``error`` what it was."""
+
+    def __init__(self, data: memoryview):
+        self.data, self.at, self.pending, self.z, self.begun, self.error = data, 0, b"", zlib.decompressobj(31), False, None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while self.error is None:
+            if self.z.eof:
+                self.z, self.begun = zlib.decompressobj(31), False
+            if not self.pending:
+                self.pending, self.at = bytes(self.data[self.at : self.at + 4096]), self.at + 4096
+            if not self.pending:
+                self.error = "ends within a member" if self.begun else None
+                return 0
+            try:
+                out, self.begun = self.z.decompress(self.pending, len(into)), True
+            except zlib.error as e:
+                self.error = str(e)
+                return 0
+            self.pending = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if out:
+                into[: len(out)] = out
+                return len(out)
+        return 0
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files under path, gzipped (record by record or whole) or plain. A damaged record ends its file."""
+    """The records of all files under path, gzipped (record by record or whole) or plain, and a row of the type DAMAGED
+    for every file that doesn't end as it should: count those. A file is read by one task; one of 2 GB or more, which is
+    beyond the usual size of 1 GB, makes the read fail."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                raw: io.BufferedIOBase = io.BytesIO(content.as_buffer())
-                if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b":
-                    raw = io.BufferedReader(gzip.GzipFile(fileobj=raw))
-                rows, size = [], 0
-                try:
-                    for row in parse(raw):
-                        rows.append(row)
-                        size += len(row[-1])
-                        if size > _BATCH_BYTES:
-                            yield _batch(rows, _RECORD_NAMES)
-                            rows, size = [], 0
-                except (EOFError, OSError, zlib.error):
-                    pass
+                data = memoryview(content.as_buffer())
+                members = _Members(data) if bytes(data[:2]) == b"\x1f\x8b" else None
+                rows, size, whole = [], 0, True
+                for row in parse(io.BytesIO(data) if members is None else io.BufferedReader(members)):
+                    rows.append(row)
+                    size, whole = size + len(row[-1]), row[1] != DAMAGED
+                    if size > _BATCH_BYTES:
+                        yield _batch(rows, _RECORD_NAMES)
+                        rows, size = [], 0
+                if whole and members is not None and members.error:
+                    rows.append(_damaged(f"compressed data: {members.error}"))
                 yield _batch(rows, _RECORD_NAMES)
 
     return files.mapInArrow(run, RECORD)
 
 
-def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Writes one gzipped file, a member a record, for each partition into a folder that all executors share.
+def write_warc(records: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """Writes one file for each partition (headers, block) to folder, on any file system that Spark knows.
 
-    Returns (file, n_records), computed when it is run. A file gets its name when it is complete, so a task that is
-    repeated after the loss of an executor replaces it whole.
+    Spark's own committer names the files when they are complete, so repeated tasks leave no half and no double files. Null
+    headers and blocks are empty. compression: gzip (a file is one member) or none.
     """
-    narrow = records.select(F.spark_partition_id().alias("part"), "headers", "block")
+    narrow = records.select("headers", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, part = None, 0, None
-        name = os.path.join(folder, f".writing-{uuid.uuid4().hex}")
         for batch in batches:
-            for i, headers, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if out is None:
-                    os.makedirs(folder, exist_ok=True)
-                    out, part = open(name, "wb"), i  # noqa: SIM115
-                out.write(gzip.compress(serialise([(h["name"], h["value"] or "") for h in headers or []], block or b""), 6, mtime=0))
-                n += 1
-        if out is not None:
-            out.close()
-            final = os.path.join(folder, f"part-{part:05d}.warc.gz")
-            os.replace(name, final)
-            yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([n], pa.int64())], names=["file", "n_records"])
-
-    return narrow.mapInArrow(run, "file string, n_records long")
+            out, size = [], 0
+            for headers, block in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                record = serialise([(h["name"], h["value"] or "") for h in headers or []], block or b"")
+                out.append(record[: -len(_END)])
+                size += len(record)
+                if size > _BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    # bytes pass through a string column unchanged, and what ends a record is what the text sink puts behind each row
+    lines = narrow.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", _END.decode()).option("compression", compression).text(folder)
