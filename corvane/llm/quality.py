@@ -2,13 +2,14 @@
 
 One dictionary is trained on good and one on bad labelled text. A text is compressed in blocks of
 ``BLOCK`` bytes under both; blocks keep a long text from becoming its own dictionary. The difference
-of the two totals, divided by the bytes of the text, is the evidence. A logistic curve, fitted on other
-labelled documents than those in the dictionaries and weighted by the shares of the two classes among all
-labels, turns it into a probability that the text is good. The curve also has the smaller total by the bytes
-of the text: repetitive junk is small under both dictionaries, so its difference by the byte says little.
+of the two totals divided by their sum is the evidence: relative to the compressed size, so that repetitive junk,
+which is small under both dictionaries, counts like other text. A logistic curve, fitted on other labelled documents
+than those in the dictionaries and weighted by the shares of the two classes among all labels, turns it into a
+probability that the text is good. As an option the curve has the compressed ratio as a second variable.
 
 Only the fit works on a sample: the ``TRAIN`` and ``CALIBRATE`` labelled documents of either class with
-the smallest hashed ids. Scoring covers every document from its first byte to its last.
+the smallest hashed ids, of at most ``FIT_CHARS`` characters each. Scoring covers every document from its first byte
+to its last.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from corvane.llm import common
 
 #: Labelled documents of either class for the dictionaries and for the curve.
 TRAIN, CALIBRATE = 1500, 1500
+#: Labelled documents with more characters are not used for the fit, which bounds what the driver reads.
+FIT_CHARS = 50_000
 #: Bytes of a dictionary and of a block, and the compression level.
 DICTIONARY, BLOCK, LEVEL = 112640, 4096, 3
 #: Documents are rejected below this probability.
@@ -44,7 +47,7 @@ class Model:
 
     good: bytes
     bad: bytes
-    slope: float = 200.0
+    slope: float = 30.0
     ratio_slope: float = 0.0
     intercept: float = 0.0
 
@@ -63,14 +66,14 @@ class Model:
 
 
 def measure(text: str, good, bad) -> tuple[float, float] | None:
-    """(difference, ratio): bytes under the bad dictionary less bytes under the good one, and the smaller of the two,
-    both by the bytes of the text; None for a text without bytes."""
+    """(difference, ratio): bytes under the bad dictionary less bytes under the good one, divided by their sum, and the
+    smaller of the two by the bytes of the text; None for a text without bytes."""
     raw = text.encode("utf-8", "replace")
     if not raw:
         return None
     blocks = _blocks(raw)
     under_good, under_bad = sum(len(good.compress(b)) for b in blocks), sum(len(bad.compress(b)) for b in blocks)
-    return (under_bad - under_good) / len(raw), min(under_good, under_bad) / len(raw)
+    return (under_bad - under_good) / (under_bad + under_good), min(under_good, under_bad) / len(raw)
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -96,7 +99,7 @@ def _logistic(x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.r_[beta[:-1] / scale, beta[-1]]
 
 
-def fit_texts(good: list[str], bad: list[str], good_held: list[str], bad_held: list[str], good_share: float = 0.5) -> Model:
+def fit_texts(good: list[str], bad: list[str], good_held: list[str], bad_held: list[str], good_share: float = 0.5, use_ratio: bool = False) -> Model:
     model = Model(_dictionary(good), _dictionary(bad))
     pair = model.compressors()
     found = [(m, y) for y, texts in ((1, good_held), (0, bad_held)) for t in texts if (m := measure(t, *pair)) is not None]
@@ -104,22 +107,25 @@ def fit_texts(good: list[str], bad: list[str], good_held: list[str], bad_held: l
     if len(set(y.tolist())) < 2:
         return model
     share = np.where(y == 1, good_share / (y == 1).sum(), (1 - good_share) / (y == 0).sum()) * len(y)
-    return Model(model.good, model.bad, *map(float, _logistic(np.array([m for m, _ in found]), share, y)))
+    fitted = _logistic(np.array([m[: 1 + use_ratio] for m, _ in found]), share, y).tolist()
+    return Model(model.good, model.bad, fitted[0], fitted[1] if use_ratio else 0.0, fitted[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE, use_ratio: bool = False, fit_chars: int = FIT_CHARS) -> Model | None:
     """The model, or None if either class has no labelled document with text.
 
-    docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad; other values and nulls are left out).
+    docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad; other values and nulls are left out, and so are ids with
+    both). Of several texts of one id the smallest is taken; texts of more than fit_chars characters are not used.
     """
     order = F.xxhash64("doc_id")
-    labels = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").distinct()
+    labels = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    labels = labels.filter("quality = most").select("doc_id", "quality")
     chosen = None
     for quality in (0, 1):
         part = labels.filter(F.col("quality") == quality).orderBy(order, "doc_id").limit(train + calibrate)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").filter("length(text) > 0").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select(order.alias("at"), "doc_id", "quality", "text").toPandas().sort_values(["at", "doc_id", "text"])
+    texts = docs.select("doc_id", "text").filter(F.length("text").between(1, fit_chars)).join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(order.alias("at"), "doc_id", "quality", "text").toPandas().sort_values(["at", "doc_id", "text"])
     by = {q: rows.loc[rows.quality == q, "text"].tolist() for q in (0, 1)}
     if not by[0] or not by[1]:
         return None
@@ -127,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int =
     cut = {q: min(train, max(1, len(by[q]) // 2)) for q in (0, 1)}
     counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     share = counts[1] / (counts[0] + counts[1])
-    return fit_texts(by[1][: cut[1]], by[0][: cut[0]], by[1][cut[1] :] or by[1], by[0][cut[0] :] or by[0], share)
+    return fit_texts(by[1][: cut[1]], by[0][: cut[0]], by[1][cut[1] :] or by[1], by[0][cut[0] :] or by[0], share, use_ratio)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: float = KEEP) -> DataFrame:
@@ -158,12 +164,17 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: fl
     return packed.mapInArrow(scored, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE, keep: float = KEEP) -> DataFrame:
-    """(doc_id, difference, ratio, score, keep) of every row of docs, repeated rows included."""
+def classify(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE, keep: float = KEEP, use_ratio: bool = False) -> DataFrame:
+    """(doc_id, difference, ratio, score, keep) of every row of docs, repeated rows included.
+
+    Texts that can't be judged (null, empty, or without a model for want of labels) are kept, with nulls for the rest.
+    Extra columns are ignored, whatever their names. An empty table gives an empty result.
+    """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return score(narrow, fit(docs, labels, train, calibrate), "text", keep).select("row.doc_id", "difference", "ratio", "score", "keep")
+    return score(narrow, fit(docs, labels, train, calibrate, use_ratio), "text", keep).select("row.doc_id", "difference", "ratio", "score", "keep")
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE, keep: float = KEEP) -> DataFrame:
-    """The rows of docs that the classifier keeps, with their columns."""
-    return score(docs, fit(docs, labels, train, calibrate), "text", keep).filter("keep").select("row.*")
+def drop_rejected(docs: DataFrame, labels: DataFrame, train: int = TRAIN, calibrate: int = CALIBRATE, keep: float = KEEP, use_ratio: bool = False) -> DataFrame:
+    """The rows of docs that the classifier keeps, with their columns, whatever their names. Rows with a null or empty
+    text stay, repeated rows share their fate, an empty table stays empty."""
+    return score(docs, fit(docs, labels, train, calibrate, use_ratio), "text", keep).filter("keep").select("row.*")
