@@ -72,4 +72,8 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
+    """suffix_sums of the lengths of all rows of docs (text), repeated ones included.
+
+    Null and empty texts have length 0. Extra columns are ignored, whatever their names. An empty table gives an empty result.
+    """
     return suffix_sums(length_histogram(docs, tokenizer))

@@ -132,14 +132,28 @@ def pack(
         out["bin_id"] = bins + (int(frame["shard"].iloc[0]) << 32)
         return out[["id", "part", "bin_id", "tokens", "segments", "loss_tokens"]]
 
+    # shards are little data and much work: as many tasks as shards, which adaptive execution doesn't put together
+    sharded = sharded.repartition(min(shards, 100_000), "shard")
     packed = sharded.groupBy("shard").applyInPandas(run, "id string, part int, bin_id long, tokens long, segments long, loss_tokens long")
     return packed.withColumn("id", F.col("id").cast("long"))
 
 
 def pack_conversations(conversations: DataFrame, tokenizer: str = tokens.BYTE_BPE, **limits) -> DataFrame:
+    """(conv_id, part, bin_id, tokens, segments, loss_tokens) of conversations (conv_id, turn, role, text).
+
+    Assistant turns bear loss. Null texts are turns without tokens, null turn numbers come first, turns of equal
+    number are ordered by role and length; rows with a null conv_id are one example with a null id. Repeated rows are turns
+    of their own. A turn longer than a bin is cut into parts. Extra columns are ignored, whatever their names. An empty
+    table gives an empty result.
+    """
     return pack(examples_from_conversations(conversations, tokenizer), **limits).withColumnRenamed("id", "conv_id")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, max_loss: int = MAX_TOKENS, **limits) -> DataFrame:
-    """Documents bear loss on every token, so their loss limit is the token limit unless set otherwise."""
+    """(doc_id, part, bin_id, tokens, segments, loss_tokens) of documents (doc_id, text).
+
+    Documents bear loss on every token, so their loss limit is the token limit unless set otherwise. Rows with a
+    null or empty text take a segment without tokens; rows with a null id and repeated rows are packed once each; texts longer
+    than a bin are cut into parts. Extra columns are ignored, whatever their names. An empty table gives an empty result.
+    """
     return pack(examples_from_documents(docs, tokenizer), max_loss=max_loss, **limits).withColumnRenamed("id", "doc_id")

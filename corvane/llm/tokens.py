@@ -70,8 +70,9 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
 
 def with_lengths(df: DataFrame, tokenizer: str = BYTE_BPE, text_col: str = "text") -> DataFrame:
-    """df's columns but for the text, and n_tokens: the encoded length; 0 for null and empty texts."""
-    kept = [c for c in df.columns if c != text_col]
+    """df's columns but for the text, and n_tokens: the encoded length; 0 for null and empty texts. A column n_tokens
+    that df has is replaced."""
+    kept = [c for c in df.columns if c not in (text_col, "n_tokens")]
     narrow = df.select(*[common.col(c) for c in kept], common.col(text_col).alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
