@@ -3,11 +3,12 @@
 Texts are split into words in Spark by the tokenizer's own pattern; merges never cross those words. Encoding:
 
 1. The documents of a partition become chunks of about ``CHUNK_WORDS`` words: the chunk's distinct words, each of which has
-   a slot, and for every document the slots of its words in order. Chunks are checkpointed, compressed.
+   a slot, and for every document the slots of its words in order.
 2. (slot, word) pairs of all chunks are exchanged by word and sorted. Equal words are neighbours then, and each distinct word
    of the corpus is encoded once, where it first comes.
 3. Ids go back to their slots and chunks to the same place, by chunk; the ids are joined back by position. A slot
-   without ids is an error, so nothing is ever encoded twice or left out in silence.
+   without ids is an error, so nothing is ever encoded twice or left out in silence. Chunks are made once for each
+   of the two exchanges, which costs less than to keep them; that both are the same is checked by a digest.
 
 So of documents only slots move (a byte or two a word), and nothing is broadcast.
 
@@ -18,11 +19,13 @@ otherwise. A broadcast join keeps the order of its rows, so then texts are put t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,108 +57,167 @@ CHUNK_WORDS = 4_000_000
 _SLOT, _IN_PART, _PART = 28, 14, 21
 
 
-def _blob(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+#: Stands for the slot of the row that carries a chunk's check.
+_CHECK = (1 << _SLOT) - 1
 
 
-def _table(blob: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit integers as bytes: all lowest bytes, then all second ones, and so on, which compress well."""
+    planes = np.concatenate([np.array([len(a) for a in arrays], np.int32), *[a.astype(np.int32) for a in arrays]]).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return b"\0" + planes if len(planes) < 256 else b"\1" + zstandard.ZstdCompressor(level=3).compress(planes)
 
 
-def _chunk(held: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
-    """One row (chunk, n_words, slots, words): the last two are compressed tables (doc_id, slots) and (word)."""
-    docs = pa.Table.from_batches(held).combine_chunks()
-    lists = docs.column("words").chunk(0)
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    slots = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), coded.indices.cast(pa.int32()), mask=lists.is_null() if lists.null_count else None)
-    if len(coded.dictionary) >= 1 << _SLOT:
-        raise ValueError("too many distinct words in one document")
-    blobs = [_blob(pa.table({"doc_id": docs.column("doc_id"), "slots": slots})), _blob(pa.table({"word": coded.dictionary}))]
-    return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(coded.dictionary)], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs]], names=["chunk", "n_words", "slots", "words"])
+def _unsqueeze(blob: bytes, n: int) -> list[np.ndarray]:
+    """The n arrays that _squeeze put together."""
+    planes = blob[1:] if blob[:1] == b"\0" else zstandard.ZstdDecompressor().decompress(blob[1:])
+    flat = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    return np.split(flat[n:], np.cumsum(flat[: n - 1])) if n > 1 else [flat[n:]]
 
 
-def _chunks(chunk_words: int):
+class _Chunk:
+    """Documents as slots of their distinct words."""
+
+    def __init__(self, held: list[pa.RecordBatch], name: int):
+        docs = pa.Table.from_batches(held).combine_chunks()
+        self.name, self.ids, self.lists = name, docs.column("doc_id").chunk(0), docs.column("words").chunk(0)
+        offsets = np.asarray(self.lists.offsets).astype(np.int64)
+        coded = self.lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        self.sizes, self.slots, self.words = np.diff(offsets), np.asarray(coded.indices), coded.dictionary
+        if len(self.words) >= _CHECK:
+            raise ValueError("too many distinct words in one document")
+        ends, size = self.words.buffers()[1], 4 * (len(self.words) + 1)
+        self.check = int.from_bytes(hashlib.blake2b(bytes(ends)[:size] + bytes(self.words.buffers()[2] or b""), digest_size=7).digest(), "big")
+
+    def documents(self) -> bytes:
+        ids = self.ids.fill_null(0).to_numpy().view(np.int32)
+        return _squeeze(ids, np.asarray(self.ids.is_valid()), np.asarray(self.lists.is_valid()), self.sizes, self.slots)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator[_Chunk]:
+    held, size, name, part = [], 0, 0, None
+    for batch in batches:
+        for piece in _slices(batch, batch.column("words"), chunk_words):
+            if part is None:
+                part = piece.column("part")[0].as_py()
+            held.append(piece.select(["doc_id", "words"]))
+            size += len(piece.column("words").flatten())
+            if size >= chunk_words:
+                yield _Chunk(held, (part << _IN_PART) + name)
+                held, size, name = [], 0, name + 1
+            if name >> _IN_PART or part >> _PART:
+                raise ValueError("too many chunks in a partition, or partitions")
+    if held:
+        yield _Chunk(held, (part << _IN_PART) + name)
+
+
+def _pairs(chunk_words: int):
+    """(at, word) of every slot, and of every chunk its check; at holds the chunk in its upper bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, name, part = [], 0, 0, None
-        for batch in batches:
-            for piece in _slices(batch, batch.column("words"), chunk_words):
-                if part is None:
-                    part = piece.column("part")[0].as_py()
-                held.append(piece.select(["doc_id", "words"]))
-                size += len(piece.column("words").flatten())
-                if size >= chunk_words:
-                    yield _chunk(held, (part << _IN_PART) + name)
-                    held, size, name = [], 0, name + 1
-                if name >> _IN_PART or part >> _PART:
-                    raise ValueError("too many chunks in a partition, or partitions")
-        if held:
-            yield _chunk(held, (part << _IN_PART) + name)
+        for chunk in _chunks(batches, chunk_words):
+            first = chunk.name << _SLOT
+            yield pa.RecordBatch.from_arrays([pa.array([first + _CHECK]), pa.array([str(chunk.check)])], names=["at", "word"])
+            for lo in range(0, len(chunk.words), 50_000):
+                some = chunk.words.slice(lo, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + lo, first + lo + len(some))), some], names=["at", "word"])
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, word) of every slot; at holds the chunk in its upper bits."""
-    for batch in batches:
-        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("words"), strict=True):
-            words = _table(blob).column("word").combine_chunks()
-            for lo in range(0, len(words), 50_000):
-                some = words.slice(lo, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(some)) + (chunk << _SLOT)), some], names=["at", "word"])
+_ROWS = "chunk long, kind int, n_words long, check long, blob binary"
+
+
+def _rows(*rows: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "kind", "n_words", "check", "blob"])
+
+
+def _documents(chunk_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, chunk_words):
+            yield _rows((chunk.name, 1, len(chunk.words), chunk.check, chunk.documents()))
+
+    return run
+
+
+#: Pairs whose ids go back together: one row for each chunk that they belong to.
+_FLUSH = 1_000_000
 
 
 def _encode_words(tokenizer: str):
-    """(at, ids) of pairs that come sorted by word; ids are packed as bytes."""
+    """Ids of pairs that come sorted by word: rows of slots, numbers of ids and ids for a chunk."""
+
+    def flush(at: np.ndarray, which: np.ndarray, lists: list[list[int]]) -> pa.RecordBatch | None:
+        checks = at & _CHECK == _CHECK
+        sizes = np.array([len(x) for x in lists], np.int64)
+        starts, flat = np.r_[0, np.cumsum(sizes)], np.fromiter((i for x in lists for i in x), np.int32)
+        at, which = at[~checks], which[~checks]
+        order = np.argsort(at)
+        at, which = at[order], which[order]
+        rows, cuts = [], np.flatnonzero(np.r_[True, at[1:] >> _SLOT != at[:-1] >> _SLOT, True]) if len(at) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            size, start = sizes[which[lo:hi]], starts[which[lo:hi]]
+            ends = np.cumsum(size)
+            ids = flat[np.arange(ends[-1]) - np.repeat(ends - size - start, size)]
+            rows.append((int(at[lo] >> _SLOT), 0, None, None, _squeeze(np.diff(at[lo:hi] & _CHECK, prepend=0), size, ids)))
+        return _rows(*rows) if rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, last, last_ids = tokens.byte_bpe(tokenizer), None, None
+        encoding, last, at, which, lists, size = tokens.byte_bpe(tokenizer), None, [], [], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
+            here, coded = batch.column("at").to_numpy(), batch.column("word").dictionary_encode()
+            words, indices = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+            checks = np.flatnonzero(here & _CHECK == _CHECK)
+            if len(checks):
+                yield _rows(*[(int(here[i] >> _SLOT), 0, None, int(words[indices[i]]), None) for i in checks])
+            if size >= _FLUSH:
+                if (out := flush(np.concatenate(at), np.concatenate(which), lists)) is not None:
+                    yield out
+                at, which, lists, size = [], [], lists[-1:], 0
             # the first word of a batch may be the last of the batch before
-            known = [last_ids] if words[0] == last else []
-            lists = known + _ids(encoding, words[len(known) :])
-            last, last_ids = words[-1], lists[-1]
-            ends = np.r_[0, np.cumsum([4 * len(x) for x in lists])].astype(np.int32)
-            flat = np.fromiter((i for x in lists for i in x), np.int32)
-            ids = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("at"), ids.take(coded.indices)], names=["at", "ids"])
+            known = int(words[0] == last)
+            at.append(here)
+            which.append(indices + len(lists) - known)
+            lists += _ids(encoding, words[known:])
+            last, size = words[-1], size + len(here)
+        if at and (out := flush(np.concatenate(at), np.concatenate(which), lists)) is not None:
+            yield out
 
     return run
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ids) from a stream sorted by (chunk, at): of every chunk first the ids of its slots, then its documents."""
-    sizes, data, now = [], [], None
+    """(doc_id, ids) from a stream sorted by (chunk, kind): of every chunk first the ids of its slots, then its documents."""
+    now, check, parts = None, None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        chunks = batch.column("at").to_numpy() >> _SLOT
-        docs = np.flatnonzero(np.asarray(batch.column("slots").is_valid()))
-        cuts = np.unique(np.r_[0, np.flatnonzero(chunks[1:] != chunks[:-1]) + 1, docs, docs + 1, batch.num_rows])
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if chunks[lo] != now:
-                sizes, data, now = [], [], chunks[lo]
-            row = batch.slice(lo, hi - lo)
-            if not row.column("slots").is_valid()[0].as_py():
-                ids = row.column("ids")
-                sizes.append(np.asarray(pc.binary_length(ids)) // 4)
-                offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
-                data.append(np.frombuffer(ids.buffers()[2], np.int32, count=int(offsets[-1] - offsets[0]) // 4, offset=int(offsets[0])))
+        columns = [batch.column(c) for c in ("chunk", "kind", "n_words", "check", "blob")]
+        for i in range(batch.num_rows):
+            chunk, kind, n_words, found, blob = (c[i].as_py() for c in columns)
+            if chunk != now:
+                now, check, parts = chunk, None, []
+            if kind == 0:
+                check = found if blob is None else check
+                if blob is not None:
+                    parts.append(_unsqueeze(blob, 3))
                 continue
-            starts = np.r_[0, np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))].astype(np.int64)
-            if len(starts) - 1 != row.column("n_words")[0].as_py():
-                raise RuntimeError("slots of a chunk have no ids")
-            flat = np.concatenate([*data, np.zeros(0, np.int32)])
-            for piece in _table(row.column("slots")[0]).to_batches():
-                for some in _slices(piece, piece.column("slots")):
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), _gather(some.column("slots"), starts, flat)], names=["doc_id", "ids"])
+            slots = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(p[0]) for p in parts]])
+            if found != check or len(slots) != n_words or not np.array_equal(np.sort(slots), np.arange(n_words)):
+                raise RuntimeError("the documents differ between two reads: checkpoint them first")
+            none = np.zeros(0, np.int32)
+            sizes, data = np.concatenate([none, *[p[1] for p in parts]]).astype(np.int64), np.concatenate([none, *[p[2] for p in parts]])
+            order = np.argsort(slots)
+            before = (np.cumsum(sizes) - sizes)[order]
+            starts = np.r_[0, np.cumsum(sizes[order])]
+            flat = data[np.arange(starts[-1]) - np.repeat(starts[:-1] - before, sizes[order])]
+            ids, has_id, has_words, size, words = _unsqueeze(blob, 5)
+            ids = pa.array(np.ascontiguousarray(ids).view(np.int64), mask=has_id == 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(words), mask=pa.array(has_words == 0))
+            whole = pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "slots"])
+            for some in _slices(whole, lists):
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), _gather(some.column("slots"), starts, flat)], names=["doc_id", "ids"])
+            parts = []
 
 
 def _gather(column: pa.Array, starts: np.ndarray, flat: np.ndarray) -> pa.Array:
@@ -186,19 +248,15 @@ def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, chunk_words: int =
     """(doc_id, ids) of every row, repeated rows included; null ids for a null text, none for an empty one.
 
     tokenizer: a tiktoken rank file of a byte-level vocabulary that splits by ``tokens.PATTERN``. An empty table gives
-    an empty result; extra columns are ignored, whatever their names.
+    an empty result; extra columns are ignored, whatever their names. docs is read twice, so it should be a scan or something
+    as cheap, and both reads must give the same partitions; if they don't, an error says so.
     """
     words = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("words"))
-    chunks = common.checkpoint(words.mapInArrow(_chunks(chunk_words), "chunk long, n_words long, slots binary, words binary"))
     # the work is by the word, not by the byte that moves: as many tasks as read the texts
-    tasks = min(chunks.rdd.getNumPartitions(), 10_000)
-    pairs = chunks.select("chunk", "words").mapInArrow(_pairs, "at long, word string").repartition(tasks, "word").sortWithinPartitions("word")
-    ids = pairs.mapInArrow(_encode_words(tokenizer), "at long, ids binary")
-    none = F.lit(None).cast("binary")
-    # the documents of a chunk come behind all its slots
-    documents = chunks.select((F.shiftleft("chunk", _SLOT) + ((1 << _SLOT) - 1)).alias("at"), none.alias("ids"), "slots", "n_words")
-    both = ids.select("at", "ids", none.alias("slots"), F.lit(None).cast("long").alias("n_words")).unionByName(documents)
-    return both.repartition(tasks, F.shiftright("at", _SLOT)).sortWithinPartitions("at").mapInArrow(_joined, "doc_id long, ids array<int>")
+    tasks = min(max(words.rdd.getNumPartitions(), 1), 10_000)
+    pairs = words.mapInArrow(_pairs(chunk_words), "at long, word string").repartition(tasks, "word").sortWithinPartitions("word")
+    both = pairs.mapInArrow(_encode_words(tokenizer), _ROWS).unionByName(words.mapInArrow(_documents(chunk_words), _ROWS))
+    return both.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_joined, "doc_id long, ids array<int>")
 
 
 def vocabulary(spark: SparkSession, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
@@ -275,7 +333,7 @@ def _spelt(kept: list[str]):
                 held = []
                 ids = table.column("id").chunk(0)
                 listed = pa.concat_arrays([table.column("piece").chunk(0).fill_null(b"").cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
-                for rows in _table(payload).to_batches():
+                for rows in pa.ipc.open_stream(payload.as_buffer()):
                     for some in _slices(rows, rows.column(at)):
                         lists = some.column(at)
                         offsets = np.asarray(lists.offsets).astype(np.int64)

@@ -543,27 +543,37 @@ def test_bpe_equals_the_tokenizer_and_round_trips(spark, odd, none, chunk_words)
 
 
 def test_each_distinct_word_is_encoded_once(monkeypatch):
-    """Over batches that part equal words."""
+    """Over batches and flushes that part equal words; ids come back to the slots of their chunks."""
     import pyarrow as pa
 
     seen: list[str] = []
     ids = bpe._ids
     monkeypatch.setattr(bpe, "_ids", lambda encoding, words: (seen.extend(words), ids(encoding, words))[1])
-    words = sorted(["a"] * 7 + [" the"] * 25 + ["Straße", "x9"] + ["hello"] * 11)
-    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(w))), pa.array(w)], names=["at", "word"]) for i in range(0, len(words), 5) if (w := words[i : i + 5])]
-    got = [np.frombuffer(b, np.int32).tolist() for r in bpe._encode_words(tokens.BYTE_BPE)(iter(batches)) for b in r.column("ids").to_pylist()]
-    assert got == [tokens.encoder(tokens.BYTE_BPE)(w) for w in words]
-    assert sorted(seen) == sorted(set(words))
-
-
-def test_missing_slots_are_an_error():
-    import pyarrow as pa
-
-    docs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([["a", "b"]])], names=["doc_id", "words"])
-    slots = bpe._chunk([docs], 0).column("slots")
-    rows = pa.RecordBatch.from_arrays([pa.array([0, (1 << bpe._SLOT) - 1]), pa.array([b"\1\0\0\0", None]), pa.array([None, slots[0].as_py()], pa.binary()), pa.array([None, 2])], names=["at", "ids", "slots", "n_words"])
-    with pytest.raises(RuntimeError):
-        list(bpe._joined(iter([rows])))
+    monkeypatch.setattr(bpe, "_FLUSH", 12)
+    docs = [pa.RecordBatch.from_arrays([pa.array([3] * 5), pa.array([7, None, 9, 10, 7]), pa.array([["a", " the"] * 9, ["Straße"], None, [], ["x9", " the", "hello", "hello"]])], names=["part", "doc_id", "words"]),
+            pa.RecordBatch.from_arrays([pa.array([3]), pa.array([11]), pa.array([[" the", "a", "zzzqy"]])], names=["part", "doc_id", "words"])]
+    pairs = pa.Table.from_batches([b for d in (docs[:1], docs[1:], docs) for b in bpe._pairs(4)(iter(d))]).sort_by("word")
+    once = pa.Table.from_batches(list(bpe._pairs(4)(iter(docs)))).sort_by("word")
+    list(bpe._encode_words(tokens.BYTE_BPE)(iter(pairs.to_batches(max_chunksize=3))))
+    words = set(once.column("word").to_pylist())
+    assert sorted(seen) == sorted(words) and any(once.column("word").to_pylist().count(w) > 1 for w in words)
+    rows = [*bpe._encode_words(tokens.BYTE_BPE)(iter(once.to_batches(max_chunksize=3))), *bpe._documents(4)(iter(docs))]
+    both = pa.Table.from_batches(rows).sort_by([("chunk", "ascending"), ("kind", "ascending")])
+    got = pa.Table.from_batches(list(bpe._joined(iter(both.to_batches(max_chunksize=2))))).to_pylist()
+    encode = tokens.encoder(tokens.BYTE_BPE)
+    want = [(i, None if w is None else [x for word in w for x in encode(word)]) for d in docs for i, w in zip(d.column("doc_id").to_pylist(), d.column("words").to_pylist(), strict=True)]
+    assert sorted(((r["doc_id"], r["ids"]) for r in got), key=str) == sorted(want, key=str)
+    # a slot without ids, or another read of the documents, is an error
+    for wrong in (both.slice(1), pa.Table.from_batches([*rows[:-1], *bpe._documents(4)(iter([docs[0], docs[0]]))]).sort_by([("chunk", "ascending"), ("kind", "ascending")])):
+        with pytest.raises(RuntimeError):
+            list(bpe._joined(iter(wrong.to_batches())))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.integers(-(2**31), 2**31 - 1), max_size=100), min_size=1, max_size=5))
+def test_squeezed_arrays_come_back(arrays):
+    back = bpe._unsqueeze(bpe._squeeze(*[np.array(a, np.int32) for a in arrays]), len(arrays))
+    assert [a.tolist() for a in back] == arrays
 
 
 def test_decode_unknown_and_split_characters(spark):
