@@ -141,17 +141,17 @@ def _documents(chunk_words: int):
 
 
 #: Pairs whose ids go back together: one row for each chunk that they belong to.
-_FLUSH = 1_000_000
+_FLUSH = 250_000
 
 
 def _encode_words(tokenizer: str):
     """Ids of pairs that come sorted by word: rows of slots, numbers of ids and ids for a chunk."""
 
-    def flush(at: np.ndarray, which: np.ndarray, lists: list[list[int]]) -> pa.RecordBatch | None:
-        checks = at & _CHECK == _CHECK
-        sizes = np.array([len(x) for x in lists], np.int64)
-        starts, flat = np.r_[0, np.cumsum(sizes)], np.fromiter((i for x in lists for i in x), np.int32)
-        at, which = at[~checks], which[~checks]
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
+        """held: (at, index of the word, ids of every new word, all their ids) of some batches."""
+        at, which, sizes, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+        starts, real = np.cumsum(sizes) - sizes, at & _CHECK != _CHECK
+        at, which = at[real], which[real]
         order = np.argsort(at)
         at, which = at[order], which[order]
         rows, cuts = [], np.flatnonzero(np.r_[True, at[1:] >> _SLOT != at[:-1] >> _SLOT, True]) if len(at) else [0]
@@ -163,7 +163,7 @@ def _encode_words(tokenizer: str):
         return _rows(*rows) if rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, last, at, which, lists, size = tokens.byte_bpe(tokenizer), None, [], [], [], 0
+        encoding, last, last_ids, held, pairs, words_held = tokens.byte_bpe(tokenizer), None, [], [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -172,17 +172,20 @@ def _encode_words(tokenizer: str):
             checks = np.flatnonzero(here & _CHECK == _CHECK)
             if len(checks):
                 yield _rows(*[(int(here[i] >> _SLOT), 0, None, int(words[indices[i]]), None) for i in checks])
-            if size >= _FLUSH:
-                if (out := flush(np.concatenate(at), np.concatenate(which), lists)) is not None:
+            if pairs >= _FLUSH:
+                if (out := flush(held)) is not None:
                     yield out
-                at, which, lists, size = [], [], lists[-1:], 0
+                held, pairs, words_held = [], 0, 0
             # the first word of a batch may be the last of the batch before
-            known = int(words[0] == last)
-            at.append(here)
-            which.append(indices + len(lists) - known)
-            lists += _ids(encoding, words[known:])
-            last, size = words[-1], size + len(here)
-        if at and (out := flush(np.concatenate(at), np.concatenate(which), lists)) is not None:
+            same = words[0] == last
+            lists = _ids(encoding, words[same:])
+            if same:
+                lists = lists if held else [last_ids, *lists]
+            shift = words_held - (same and bool(held))
+            held.append((here, indices + shift, np.array([len(x) for x in lists], np.int64), np.fromiter((i for x in lists for i in x), np.int32)))
+            last, last_ids = words[-1], lists[-1] if lists else last_ids
+            pairs, words_held = pairs + len(here), words_held + len(lists)
+        if held and (out := flush(held)) is not None:
             yield out
 
     return run
