@@ -53,6 +53,8 @@ def _ids(encoding, words: list[str]) -> list[list[int]]:
 
 #: Words of a chunk: a document is never cut. A chunk is held by one task, with its distinct words' ids.
 CHUNK_WORDS = 4_000_000
+#: Ids of a chunk when decoding; it isn't exchanged, so it may be smaller.
+CHUNK_TOKENS = 1_000_000
 #: Bits of the number of a slot, of the number of a chunk in its partition, and of the partition.
 _SLOT, _IN_PART, _PART = 28, 14, 21
 
@@ -75,39 +77,53 @@ def _unsqueeze(blob: bytes, n: int) -> list[np.ndarray]:
 
 
 class _Chunk:
-    """Documents as slots of their distinct words."""
-
-    def __init__(self, held: list[pa.RecordBatch], name: int):
-        docs = pa.Table.from_batches(held).combine_chunks()
-        self.name, self.ids, self.lists = name, docs.column("doc_id").chunk(0), docs.column("words").chunk(0)
-        offsets = np.asarray(self.lists.offsets).astype(np.int64)
-        coded = self.lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        self.sizes, self.slots, self.words = np.diff(offsets), np.asarray(coded.indices), coded.dictionary
+    """Documents as slots of their distinct words. Batches are dictionary-coded as they come, so their words aren't held."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        lists = batch.column("words")
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        self.parts.append((batch.column("doc_id"), np.asarray(lists.is_valid()), np.diff(offsets), coded))
+        self.size += len(coded)
+
+    def close(self, name: int) -> "_Chunk":
+        ids, valid, sizes, coded = zip(*self.parts, strict=True)
+        self.name, self.parts = name, []
+        self.ids, self.valid, self.sizes = pa.concat_arrays(ids), np.concatenate(valid), np.concatenate(sizes)
+        whole = pa.chunked_array(coded).unify_dictionaries()
+        self.slots, self.words = np.concatenate([np.asarray(c.indices) for c in whole.chunks]), whole.chunk(0).dictionary
         if len(self.words) >= _CHECK:
             raise ValueError("too many distinct words in one document")
-        ends, size = self.words.buffers()[1], 4 * (len(self.words) + 1)
-        self.check = int.from_bytes(hashlib.blake2b(bytes(ends)[:size] + bytes(self.words.buffers()[2] or b""), digest_size=7).digest(), "big")
+        data = self.words.buffers()
+        self.check = int.from_bytes(hashlib.blake2b(bytes(data[1])[: 4 * (len(self.words) + 1)] + bytes(data[2] or b""), digest_size=7).digest(), "big")
+        return self
 
     def documents(self) -> bytes:
         ids = self.ids.fill_null(0).to_numpy().view(np.int32)
-        return _squeeze(ids, np.asarray(self.ids.is_valid()), np.asarray(self.lists.is_valid()), self.sizes, self.slots)
+        return _squeeze(ids, np.asarray(self.ids.is_valid()), self.valid, self.sizes, self.slots)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator[_Chunk]:
-    held, size, name, part = [], 0, 0, None
+    now, name, part = _Chunk(), 0, None
     for batch in batches:
         for piece in _slices(batch, batch.column("words"), chunk_words):
             if part is None:
                 part = piece.column("part")[0].as_py()
-            held.append(piece.select(["doc_id", "words"]))
-            size += len(piece.column("words").flatten())
-            if size >= chunk_words:
-                yield _Chunk(held, (part << _IN_PART) + name)
-                held, size, name = [], 0, name + 1
+            now.add(piece)
+            if now.size >= chunk_words:
+                yield now.close((part << _IN_PART) + name)
+                now, name = _Chunk(), name + 1
             if name >> _IN_PART or part >> _PART:
                 raise ValueError("too many chunks in a partition, or partitions")
-    if held:
-        yield _Chunk(held, (part << _IN_PART) + name)
+    if now.parts:
+        yield now.close((part << _IN_PART) + name)
+    del now
+    # workers are kept for later tasks: they give back what they don't use
+    pa.default_memory_pool().release_unused()
 
 
 def _pairs(chunk_words: int):
@@ -187,6 +203,7 @@ def _encode_words(tokenizer: str):
             pairs, words_held = pairs + len(here), words_held + len(lists)
         if held and (out := flush(held)) is not None:
             yield out
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -221,6 +238,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some in _slices(whole, lists):
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), _gather(some.column("slots"), starts, flat)], names=["doc_id", "ids"])
             parts = []
+            pa.default_memory_pool().release_unused()
 
 
 def _gather(column: pa.Array, starts: np.ndarray, flat: np.ndarray) -> pa.Array:
@@ -348,7 +366,7 @@ def _spelt(kept: list[str]):
     return run
 
 
-def decode(encoded: DataFrame, tokenizer: str = tokens.BYTE_BPE, broadcast_rows: int = common.BROADCAST_ROWS, chunk_tokens: int = CHUNK_WORDS) -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str = tokens.BYTE_BPE, broadcast_rows: int = common.BROADCAST_ROWS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """encoded, which has a column ids, with a column text: what the ids stand for; null for null ids.
 
     Unknown and null ids give nothing. A character may be spread over several tokens, so bytes are put together before they
