@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,6 +266,16 @@ def _slices(batch: pa.RecordBatch, column: pa.Array, most: int = SLICE) -> Itera
         lo = hi
 
 
+def _slots_and_ids(docs: DataFrame, tokenizer: str, chunk_words: int) -> DataFrame:
+    """What _joined makes documents of."""
+    words = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("words"))
+    # the work is by the word, not by the byte that moves: as many tasks as read the texts
+    tasks = min(max(words.rdd.getNumPartitions(), 1), 10_000)
+    pairs = words.mapInArrow(_pairs(chunk_words), "at long, word string").repartition(tasks, "word").sortWithinPartitions("word")
+    both = pairs.mapInArrow(_encode_words(tokenizer), _ROWS).unionByName(words.mapInArrow(_documents(chunk_words), _ROWS))
+    return both.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind")
+
+
 def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, ids) of every row, repeated rows included; null ids for a null text, none for an empty one.
 
@@ -272,12 +283,7 @@ def encode(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, chunk_words: int =
     an empty result; extra columns are ignored, whatever their names. docs is read twice, so it should be a scan or something
     as cheap, and both reads must give the same partitions; if they don't, an error says so.
     """
-    words = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("words"))
-    # the work is by the word, not by the byte that moves: as many tasks as read the texts
-    tasks = min(max(words.rdd.getNumPartitions(), 1), 10_000)
-    pairs = words.mapInArrow(_pairs(chunk_words), "at long, word string").repartition(tasks, "word").sortWithinPartitions("word")
-    both = pairs.mapInArrow(_encode_words(tokenizer), _ROWS).unionByName(words.mapInArrow(_documents(chunk_words), _ROWS))
-    return both.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_joined, "doc_id long, ids array<int>")
+    return _slots_and_ids(docs, tokenizer, chunk_words).mapInArrow(_joined, "doc_id long, ids array<int>")
 
 
 def vocabulary(spark: SparkSession, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
@@ -305,10 +311,9 @@ def _packed(kept: list[str], chunk_tokens: int):
         return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), ids, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, name, part = [], 0, 0, 0
+        held, size, name, part = [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             for piece in _slices(batch, batch.column("ids"), chunk_tokens):
-                part = piece.column("__part")[0].as_py()
                 held.append(piece)
                 size += len(piece.column("ids").flatten())
                 if size >= chunk_tokens:
@@ -375,18 +380,30 @@ def decode(encoded: DataFrame, tokenizer: str = tokens.BYTE_BPE, broadcast_rows:
     """
     kept = [c for c in encoded.columns if c != "text"]
     rows = encoded.select(*[common.col(c) if c != "ids" else F.col("ids").cast("array<int>").alias("ids") for c in kept])
-    packed = rows.withColumn("__part", F.spark_partition_id()).mapInArrow(_packed(kept, chunk_tokens), "chunk long, ids array<int>, payload binary")
+    return _decoded(rows.mapInArrow(_packed(kept, chunk_tokens), _PACKED), rows.schema, tokenizer, broadcast_rows)
+
+
+_PACKED = "chunk long, ids array<int>, payload binary"
+
+
+def _decoded(packed: DataFrame, schema: T.StructType, tokenizer: str, broadcast_rows: int) -> DataFrame:
     each = packed.select("chunk", F.size("ids").alias("n"), "payload", F.posexplode_outer("ids").alias("pos", "id"))
     # the rows of a chunk travel with the last of its ids
     each = each.select("chunk", "pos", "id", F.when(F.coalesce("pos", F.lit(-1)) == F.col("n") - 1, F.col("payload")).alias("payload"))
-    pieces, small = vocabulary(encoded.sparkSession, tokenizer), len(tokens.ranks(tokenizer)) <= broadcast_rows
+    pieces, small = vocabulary(packed.sparkSession, tokenizer), len(tokens.ranks(tokenizer)) <= broadcast_rows
     met = each.join(F.broadcast(pieces) if small else pieces, "id", "left").select("chunk", "pos", "id", "piece", "payload")
     if not small:
         met = met.repartition("chunk").sortWithinPartitions("chunk", "pos")
-    return met.mapInArrow(_spelt(kept), T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
+    return met.mapInArrow(_spelt(schema.names), T.StructType([*schema.fields, T.StructField("text", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
-    """(doc_id, n_tokens, ids, text_hash): the ids of every row and the hash of the text decoded from them."""
-    decoded = decode(encode(docs, tokenizer), tokenizer)
+    """(doc_id, n_tokens, ids, text_hash): the ids of every row and the hash of the text decoded from them.
+
+    Just decode(encode(docs)), but that the end of the one and the beginning of the other share a Python worker.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    pack = _packed(schema.names, CHUNK_TOKENS)
+    packed = _slots_and_ids(docs, tokenizer, CHUNK_WORDS).mapInArrow(lambda batches: pack(_joined(batches)), _PACKED)
+    decoded = _decoded(packed, schema, tokenizer, common.BROADCAST_ROWS)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.xxhash64("text").alias("text_hash"))

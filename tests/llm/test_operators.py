@@ -539,7 +539,9 @@ def test_bpe_equals_the_tokenizer_and_round_trips(spark, odd, none, chunk_words)
     assert sorted(str(r["text"]) for r in back) == sorted(str(r["text"]) for r in docs.collect())
     clash = odd.withColumn("words", F.col("n")).withColumn("ids", F.col("n")).withColumn("part", F.col("n")).withColumn("at", F.col("n"))
     assert bpe.encode(clash).count() == odd.count()
-    assert bpe.round_trip(none).count() == 0 and bpe.round_trip(odd).count() == odd.count()
+    assert bpe.round_trip(none).count() == 0
+    trips = bpe.round_trip(docs).select("doc_id", "n_tokens", "text_hash").collect()
+    assert sorted((str(t["doc_id"]), str(t["text_hash"])) for t in trips) == sorted((str(r[0]), str(r[1])) for r in docs.select("doc_id", F.xxhash64("text")).collect())
 
 
 def test_each_distinct_word_is_encoded_once(monkeypatch):
