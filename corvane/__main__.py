@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from corvane.config import Config
     from corvane.plans.engine import Engine
@@ -42,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         case "sync":
             print(json.dumps(engine.sync(args.root)))
         case "index-file":
-            listing = engine.listing(args.root).filter(f"path = '{args.path}'")
+            listing = engine.listing(args.root).filter(F.col("path") == args.path)
             print(json.dumps(engine.sync_files(listing, delete_removed=False)))
         case "remove-file":
             engine.remove([args.path])

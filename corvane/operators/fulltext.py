@@ -8,6 +8,7 @@ before anything is grouped, so the shuffle holds the postings of those terms and
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +26,22 @@ def tokens(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
     if not stemmed:
         return out
     # distinct terms only go through Python
-    stems = out.select("term").distinct().withColumn("stemmed", stem("term"))
+    stems = out.select("term").distinct().withColumn("stemmed", stem(fold(F.col("term"))))
     return out.join(stems, "term").select("chunk_id", "pos", F.col("stemmed").alias("term"))
 
 
+def _accents() -> tuple[str, str]:
+    """Lower-case letters with marks of the Latin alphabets, and the letters without."""
+    plain = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    pairs = [(a, b) for a, b in plain.items() if a != b and a.islower() and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def fold(term: Column) -> Column:
+    """A lower-cased term without the marks of Latin letters."""
+    return F.translate(term, *_accents())
+
+
 def doc_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.coalesce(F.size(words(F.col("content"))), F.lit(0)).cast("long").alias("len"))
 
@@ -58,7 +71,7 @@ def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """(query_id, term, n_terms): distinct terms of every query."""
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     if stemmed:
-        terms = terms.withColumn("term", stem("term")).distinct()
+        terms = terms.withColumn("term", stem(fold(F.col("term")))).distinct()
     return terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
@@ -90,14 +103,15 @@ def _few(table: DataFrame, limit: int = 100_000) -> bool:
     return table.limit(limit + 1).count() <= limit
 
 
-def prefix_search(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+def prefix_search(chunks: DataFrame, queries: DataFrame, k: int = 50, stemmed: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks that for every word of the query have a term which begins with it.
 
-    A prefix counts as one term: its frequency is that of all terms it begins, and so is its document frequency.
+    A prefix counts as one term: its frequency is that of all terms it begins, and so is its document frequency. With
+    stemmed, terms and prefixes are folded and stemmed.
     """
-    prefixes = query_terms(queries).withColumnRenamed("term", "prefix")
+    prefixes = query_terms(queries, stemmed).withColumnRenamed("term", "prefix")
     lengths = doc_lengths(chunks)
-    counts = tokens(chunks).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    counts = tokens(chunks, stemmed).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
     # terms meet prefixes of their own beginnings by equality, never by a nested loop
     heads = prefixes.select("prefix").distinct().withColumn("n", F.length("prefix"))
     sizes = heads.agg(F.collect_set("n").alias("sizes"))

@@ -14,6 +14,8 @@ from corvane.plans.lineage import cut
 from corvane.plans.plugins import Embedder, HashEmbedder, OverlapReranker, Reranker
 
 QUALITIES = ("fast", "balanced", "thorough")
+#: What the lists of the fast quality weigh.
+FAST_WEIGHTS = {"exact": 0.7, "fuzzy": 0.3}
 
 
 @dataclass
@@ -36,8 +38,8 @@ def _channel(hits: DataFrame, source: str, id_col: str = "chunk_id") -> DataFram
 
 
 def fts_channels(index: Index, queries: DataFrame, config: Config) -> DataFrame:
-    exact = fulltext.bm25(index.chunks, queries, config.fts_top_k, match_all=True)
-    fuzzy = fulltext.prefix_search(index.chunks, queries, config.fts_top_k)
+    exact = fulltext.bm25(index.chunks, queries, config.fts_top_k, match_all=True, stemmed=True)
+    fuzzy = fulltext.prefix_search(index.chunks, queries, config.fts_top_k, stemmed=True)
     return _channel(exact, "exact").unionByName(_channel(fuzzy, "fuzzy"))
 
 
@@ -74,7 +76,7 @@ def entity_channel(index: Index, seeds: DataFrame, config: Config) -> DataFrame:
     parts = reached.withColumn("e", T.entity_of_key(F.col("node"))).filter("e is not null").select(
         F.col("node").alias("entity_id"), e["file_path"].alias("file_path"), e["kind"].alias("kind"), e["symbol_name"].alias("symbol_name"), e["start_line"].alias("start_line"), e["end_line"].alias("end_line")).distinct()
     at = lookups.entity_chunks(parts, index.symbols, index.chunks).withColumnRenamed("entity_id", "node")
-    scored = reached.join(at, "node").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    scored = reached.join(at, "node").groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
     scored = scored.join(seeds.select("query_id", F.col("doc_id").alias("chunk_id")), ["query_id", "chunk_id"], "left_anti")
     return _channel(fulltext.top_k(scored, config.fts_top_k), "entity")
 
@@ -82,16 +84,19 @@ def entity_channel(index: Index, seeds: DataFrame, config: Config) -> DataFrame:
 def search(index: Index, queries: DataFrame, config: Config = Config(), quality: str = "thorough", expanded: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, path, score, rank, snippet) of queries (query_id, query), the best top_k of each.
 
-    fast: full text and symbols. balanced: also Hamming distances. thorough: also the two-stage vector channel and the
-    graphs, seeded by the best chunks so far. expanded: queries as they were expanded; full text uses the original.
-    The symbol channel serves queries that aren't natural language. Fused documents are reranked but in fast mode.
+    fast: full text alone, exact lists weighing .7 and prefix lists .3. balanced: also symbols and Hamming distances, with weights
+    by the query's intent. thorough: also the two-stage vector channel and the graphs, seeded by the best chunks so far.
+    auto: thorough if the index has vectors, else fast. expanded: queries as they were expanded; full text uses the
+    original. The symbol channel serves queries that aren't natural language. Fused documents are reranked.
     """
+    if quality == "auto":
+        quality = "fast" if index.vectors is None or index.vectors.isEmpty() else "thorough"
     if quality not in QUALITIES:
-        raise ValueError(f"quality must be one of {QUALITIES}")
+        raise ValueError(f"quality must be auto or one of {QUALITIES}")
     wide = queries if expanded is None else expanded
     intents = queries.select("query_id", T.query_intent(F.col("query")).alias("intent"))
     lists = fts_channels(index, queries, config)
-    if index.symbols is not None:
+    if quality != "fast" and index.symbols is not None:
         coded = wide.join(intents.filter("intent <> 'natural'").select("query_id"), "query_id", "left_semi")
         lists = lists.unionByName(symbol_channel(index, coded, config))
     if quality != "fast" and index.vectors is not None:
@@ -103,16 +108,18 @@ def search(index: Index, queries: DataFrame, config: Config = Config(), quality:
         if index.entity_edges is not None:
             lists = cut(lists)
             lists = lists.unionByName(entity_channel(index, cut(fusion.seeds(lists, config.max_seeds, config.seed_mode)), config))
-    weights = intents.join(fusion.adaptive_weights(queries.sparkSession), "intent").select("query_id", "source", "weight")
+    if quality == "fast":
+        weights = queries.sparkSession.createDataFrame(list(FAST_WEIGHTS.items()), "source string, weight double")
+    else:
+        weights = intents.join(fusion.adaptive_weights(queries.sparkSession), "intent").select("query_id", "source", "weight")
     fused = fusion.rrf(lists, weights, config.fusion_k)
     if index.tombstones is not None:
         fused = fusion.tombstone_filter(fused, index.tombstones.select(F.col("chunk_id").alias("doc_id")))
     first = fusion.top(fused, config.rerank_pool)
-    if quality != "fast":
-        # texts are fetched for what is reranked only
-        texts = first.select("query_id", F.col("doc_id").alias("chunk_id")).join(index.chunks.select("chunk_id", "content"), "chunk_id").join(wide.select("query_id", "query"), "query_id")
-        reranked = texts.select("query_id", F.col("chunk_id").alias("doc_id"), index.reranker.score(F.col("query"), F.col("content")).alias("rerank"))
-        first = fusion.blend(first, reranked, config.rerank_pool, config.rerank_weight)
+    # texts are fetched for what is reranked only
+    texts = first.select("query_id", F.col("doc_id").alias("chunk_id")).join(index.chunks.select("chunk_id", "content"), "chunk_id").join(wide.select("query_id", "query"), "query_id")
+    reranked = texts.select("query_id", F.col("chunk_id").alias("doc_id"), index.reranker.score(F.col("query"), F.col("content")).alias("rerank"))
+    first = fusion.blend(first, reranked, config.rerank_pool, config.rerank_weight)
     best = first.filter(F.col("rank") <= config.top_k).withColumnRenamed("doc_id", "chunk_id")
     extra = [c for c in ("start_line", "end_line", "language") if c in index.chunks.columns]
     return best.join(index.chunks.select("chunk_id", "path", F.substring("content", 1, 200).alias("snippet"), *extra), "chunk_id").select(
