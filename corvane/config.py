@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 
 #: Extensions that never hold text worth indexing, by family.
 BINARY_EXTENSIONS = tuple(
@@ -24,15 +24,14 @@ class Config:
     embed_dim: int = 384
     max_chunk_chars: int = 800
     chunk_overlap: int = 100
-    code_aware_chunking: bool = True
-    ast_chunking: bool = True
-    chunk_context_header: bool = False
+    chunk_context_header: bool = True
     max_file_size_bytes: int = 1_000_000
     binary_sample_bytes: int = 2048
     binary_null_threshold: float = 0.10
-    generated_markers: tuple[str, ...] = ("@generated", "DO NOT EDIT", "auto-generated", "AUTO-GENERATED", "Code generated by")
+    generated_markers: tuple[str, ...] = ("@generated", "DO NOT EDIT", "auto-generated", "AUTO GENERATED")
     exclude_extensions: tuple[str, ...] = BINARY_EXTENSIONS
-    exclude_dirs: tuple[str, ...] = (".git", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "vendor")
+    exclude_dirs: tuple[str, ...] = (
+        "*.egg-info", ".corvane", ".eggs", ".git", ".mypy_cache", ".next", ".nuxt", ".pytest_cache", ".tox", ".venv", "__pycache__", "build", "coverage", "dist", "node_modules", "venv")
     binary_top_k: int = 200
     ann_top_k: int = 50
     fts_top_k: int = 50
@@ -43,7 +42,6 @@ class Config:
     max_seeds: int = 10
     seed_mode: str = "raw"
     fts_sanitize: bool = False
-    inject_structural: bool = False
     expansion_top_k: int = 5
     expansion_threshold: float = 0.35
     private_margin: float = 0.1
@@ -52,19 +50,15 @@ class Config:
     hot_hours: float = 24.0
     cold_hours: float = 168.0
     shards: int = 4
-    debounce_ms: int = 500
-    watermark: str = "1 minute"
-    embed_max_tokens: int = 8192
-    embed_max_items: int = 32
-    base_weights: dict[str, float] = field(
-        default_factory=lambda: {"exact": 0.17, "fuzzy": 0.085, "vector": 0.34, "graph": 0.085, "symbol": 0.17, "entity": 0.15})
 
     @classmethod
     def from_env(cls, **overrides) -> "Config":
         said = {}
         for f in fields(cls):
             raw = os.environ.get(f"CORVANE_{f.name.upper()}")
-            if raw is not None and f.type in ("int", "float", "str", "bool"):
+            if raw is not None and f.type.startswith("tuple"):
+                said[f.name] = tuple(part.strip() for part in raw.split(",") if part.strip())
+            elif raw is not None:
                 said[f.name] = raw.lower() in ("1", "true", "yes") if f.type == "bool" else {"int": int, "float": float, "str": str}[f.type](raw)
         return cls(**(said | overrides))
 

@@ -179,7 +179,7 @@ def many_parts(query: Column) -> Column:
     """Whether a query asks for several things: two connectives, two commas or two files."""
     lower = F.lower(query)
     files = F.size(F.regexp_extract_all(query, F.lit(r"[\w./\\-]+\.(?:cpp|c|go|h|java|jsx|js|py|rb|rs|tsx|ts)"), F.lit(0)))
-    return lower.rlike(r"(?s)\b(?:and|or)\b.*\b(?:and|or)\b") | (F.regexp_count(query, F.lit(",")) >= 2) | (files >= 2)
+    return lower.rlike(r"\b(?:and|or)\b.*\b(?:and|or)\b") | (F.regexp_count(query, F.lit(",")) >= 2) | (files >= 2)
 
 
 def normal_path(path: Column) -> Column:

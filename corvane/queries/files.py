@@ -21,7 +21,7 @@ def scan_exclude(spark, sf_dir):
 
 
 _EXT = " OR ".join(f"ends_with(lower(path), '{e}')" for e in BINARY_EXTENSIONS)
-_MARK = " OR ".join(f"contains(left(content, 1024), '{m}')" for m in ("@generated", "DO NOT EDIT", "auto-generated", "AUTO-GENERATED", "Code generated by"))
+_MARK = " OR ".join(f"contains(left(content, 1024), '{m}')" for m in ("@generated", "DO NOT EDIT", "auto-generated", "AUTO GENERATED"))
 
 
 @query(f"SELECT path, CASE WHEN {_EXT} THEN 'extension' WHEN size > 1000000 THEN 'too large' WHEN size = 0 THEN 'empty' WHEN {_MARK} THEN 'generated' END AS reason FROM files", ("files",))
@@ -169,10 +169,15 @@ def chunk_code(spark, sf_dir):
     return chunking.chunks(_files(spark, sf_dir), mode="code")
 
 
-@query(f"WITH {_LINES} SELECT path, CAST(line AS INT) AS line FROM lines WHERE regexp_matches(text, '^ {{0,4}}((export\\s+)?(async\\s+)?(class|def|function)|(type|func)|(template|namespace))\\s')", ("files",))
+_SOURCE = "concat('class ', replace(p_name, ' ', '_'), ':', chr(10), '    def go', p_partkey, '(self):', chr(10), '        def deep(): pass', chr(10), 'define = ', p_size, chr(10), 'export async function run() {')"
+
+
+@query(rf"""WITH f AS (SELECT p_partkey, string_split({_SOURCE}, chr(10)) AS l FROM part), lines AS (SELECT p_partkey, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS line FROM f)
+SELECT p_partkey, CAST(line AS INT) AS line FROM lines WHERE regexp_matches(text, '^ {{0,4}}((export\s+)?(async\s+)?(class|def|function))\s')""")
 def code_boundaries(spark, sf_dir):
-    f = op.lines(_files(spark, sf_dir))
-    return f.filter(F.col("text").rlike(r"^ {0,4}((export\s+)?(async\s+)?(class|def|function)|(type|func)|(template|namespace))\s")).select("path", "line")
+    """Lines that begin definitions, in a source file made of every part."""
+    begins = F.udf(lambda text: chunking.boundaries(text.split("\n")), "array<int>")
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(begins(F.expr(_SOURCE))).alias("line"))
 
 
 @query()

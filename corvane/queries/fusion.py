@@ -91,12 +91,6 @@ def overlap_rerank(spark, sf_dir):
     return met.select("query_id", "chunk_id", F.round(op.overlap(F.col("query"), F.col("content")), 6).alias("score"))
 
 
-@query("SELECT query_id, doc_id // 32 AS batch, count(*) AS n_pairs, min(doc_id) AS first_id, max(doc_id) AS last_id FROM results GROUP BY ALL", ("results",))
-def rerank_batches(spark, sf_dir):
-    return relation(spark, sf_dir, "results").groupBy("query_id", F.floor(F.col("doc_id") / 32).alias("batch")).agg(
-        F.count("*").alias("n_pairs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-
-
 _HITS = "h AS (SELECT r.query_id, r.item, r.rank, CASE WHEN q.item IS NULL THEN 0 ELSE 1 END AS rel, n_rel FROM run r LEFT JOIN qrels q USING (query_id, item) JOIN (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY 1) c ON r.query_id = c.query_id)"
 
 

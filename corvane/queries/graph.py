@@ -33,11 +33,13 @@ def _edges(spark, sf_dir):
     return op.edge_chunks(refs, symbols)
 
 
-@query("SELECT id, name, kind, chunk_id FROM symbols WHERE name = (SELECT min(name) FROM symbols)", ("symbols",))
+_NAMED = "(SELECT concat(replace(p_name, ' ', '_'), '_', p_partkey) FROM part WHERE p_partkey = 7)"
+
+
+@query(f"SELECT id, name, kind, chunk_id FROM symbols WHERE name = {_NAMED}", ("symbols",))
 def symbol_by_name(spark, sf_dir):
-    symbols = relation(spark, sf_dir, "symbols")
-    first = symbols.agg(F.min("name").alias("name"))
-    return symbols.join(first, "name", "left_semi").select("id", "name", "kind", "chunk_id")
+    name = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey = 7").select(F.expr(_NAMED.removeprefix("(SELECT ").split(" FROM ")[0])).first()[0]
+    return lookups.symbols_by_name(relation(spark, sf_dir, "symbols"), name).select("id", "name", "kind", "chunk_id")
 
 
 @query("SELECT id, name FROM (SELECT id, name FROM symbols WHERE contains(lower(name), 'ring') ORDER BY name, id LIMIT 10)", ("symbols",))

@@ -60,20 +60,20 @@ def build_queries(spark, sf_dir):
     return _answers(spark, sf_dir).select("event_id", F.array_join(op.sub_queries(F.col("query"), F.col("parts")), "|").alias("asked"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '(?s)\b(?:and|or)\b.*\b(?:and|or)\b') OR length(text) - length(replace(text, ',', '')) >= 2 AS many FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(?:and|or)\b.*\b(?:and|or)\b') OR length(text) - length(replace(text, ',', '')) >= 2 AS many FROM conversations")
 def fanout_predicate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.many_parts(F.col("text")).alias("many"))
 
 
-_FOUND = "fo AS (SELECT lang AS query_id, source AS path, min(doc_id) AS ord FROM documents WHERE n_chars > 2000 GROUP BY ALL), ra AS (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM (SELECT lang AS query_id, source AS path, max(n_chars)::DOUBLE AS score FROM documents WHERE n_chars < 8000 GROUP BY ALL))"
+_FOUND = "fo AS (SELECT lang AS query_id, source || CASE WHEN n_chars > 2000 THEN '' ELSE '/short' END AS path, min(doc_id) AS ord FROM documents GROUP BY ALL), ra AS (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM (SELECT lang AS query_id, source || CASE WHEN n_chars < 8000 THEN '' ELSE '/long' END AS path, max(n_chars)::DOUBLE AS score FROM documents GROUP BY ALL))"
 
 
 def _found(spark, sf_dir):
     from pyspark.sql import Window
 
     docs = table(spark, sf_dir, "documents")
-    found = docs.filter("n_chars > 2000").groupBy(F.col("lang").alias("query_id"), F.col("source").alias("path")).agg(F.min("doc_id").alias("ord"))
-    ranked = docs.filter("n_chars < 8000").groupBy(F.col("lang").alias("query_id"), F.col("source").alias("path")).agg(F.max("n_chars").cast("double").alias("score"))
+    found = docs.groupBy(F.col("lang").alias("query_id"), F.concat("source", F.when(F.col("n_chars") > 2000, "").otherwise("/short")).alias("path")).agg(F.min("doc_id").alias("ord"))
+    ranked = docs.groupBy(F.col("lang").alias("query_id"), F.concat("source", F.when(F.col("n_chars") < 8000, "").otherwise("/long")).alias("path")).agg(F.max("n_chars").cast("double").alias("score"))
     return found, ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path")))
 
 

@@ -26,8 +26,12 @@ def decode(content: Column) -> Column:
 
 
 def excluded_dir(path: Column, names: tuple[str, ...] = Config.exclude_dirs) -> Column:
-    """Whether some component of the path is one of the names, literally."""
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
+    """Whether some component of the path is one of the names; ``*`` in a name stands for anything, all else is literal."""
+    plain, wild = [n for n in names if "*" not in n], [n for n in names if "*" in n]
+    found = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in plain])) if plain else F.lit(False)
+    for name in wild:
+        found = found | path.rlike("(^|/)" + ".*".join(re.escape(part) for part in name.split("*")).replace(".*", "[^/]*") + "(/|$)")
+    return found
 
 
 def noise_reason(path: Column, content: Column, size: Column, config: Config = Config(), null_bytes: Column | None = None) -> Column:
