@@ -55,6 +55,35 @@ def postings(toks: DataFrame) -> DataFrame:
     return grouped.select("term", "chunk_id", "tf", "positions")
 
 
+@dataclass(frozen=True)
+class Inverted:
+    """A kept index: postings (term, chunk_id, tf) of folded stems, and lengths (chunk_id, len) of all chunks."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def inverted(chunks: DataFrame) -> Inverted:
+    """The index of chunks. Postings are sorted by term, so that files and row groups are skipped by the terms they hold;
+    ranges are cut within a term too, so a term of most chunks is spread over many files."""
+    counts = tokens(chunks, stemmed=True).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    return Inverted(counts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), doc_lengths(chunks))
+
+
+def _within(postings: DataFrame, terms: DataFrame, prefixes: bool = False, limit: int = 500) -> DataFrame:
+    """Postings of terms (term): few terms become a filter that reaches the scan. With prefixes, few of them (50) do too,
+    as beginnings of terms; with more all postings come back, for the join to choose from."""
+    listed = sorted(r["term"] for r in terms.select("term").filter("term is not null").distinct().limit(limit + 1).collect())
+    if len(listed) > limit:
+        return postings if prefixes else postings.join(terms.select("term").distinct(), "term", "left_semi")
+    if not prefixes:
+        return postings.filter(F.col("term").isin(listed))
+    begins = F.lit(False)
+    for head in listed:
+        begins = begins | F.col("term").startswith(head)
+    return postings.filter(begins) if len(listed) <= 50 else postings
+
+
 def doc_freq(toks: DataFrame) -> DataFrame:
     return toks.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"), F.count("*").alias("cf"))
 
@@ -81,13 +110,19 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, match_all: bool = False, stemmed: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, rank): BM25 of the query's terms; with match_all only chunks that have them all."""
-    terms = query_terms(queries, stemmed)
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, match_all: bool = False, stemmed: bool = False, kept: Inverted | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): BM25 of the query's terms; with match_all only chunks that have them all.
+
+    With a kept index, which is of stems, chunks aren't read.
+    """
+    terms = query_terms(queries, stemmed or kept is not None)
     wanted = terms.select("term").distinct()
-    lengths = doc_lengths(chunks)
-    found = tokens(chunks, stemmed).join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
-    tf = found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    if kept is not None:
+        lengths, tf = kept.lengths, _within(kept.postings, wanted)
+    else:
+        lengths = doc_lengths(chunks)
+        found = tokens(chunks, stemmed).join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
+        tf = found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").crossJoin(corpus(lengths))
     met = weighted.join(tf, "term").join(lengths, "chunk_id")
@@ -103,15 +138,19 @@ def _few(table: DataFrame, limit: int = 100_000) -> bool:
     return table.limit(limit + 1).count() <= limit
 
 
-def prefix_search(chunks: DataFrame, queries: DataFrame, k: int = 50, stemmed: bool = False) -> DataFrame:
+def prefix_search(chunks: DataFrame, queries: DataFrame, k: int = 50, stemmed: bool = False, kept: Inverted | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks that for every word of the query have a term which begins with it.
 
     A prefix counts as one term: its frequency is that of all terms it begins, and so is its document frequency. With
-    stemmed, terms and prefixes are folded and stemmed.
+    stemmed, terms and prefixes are folded and stemmed. With a kept index, which is of stems, chunks aren't read.
     """
-    prefixes = query_terms(queries, stemmed).withColumnRenamed("term", "prefix")
-    lengths = doc_lengths(chunks)
-    counts = tokens(chunks, stemmed).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    prefixes = query_terms(queries, stemmed or kept is not None).withColumnRenamed("term", "prefix")
+    if kept is not None:
+        lengths = kept.lengths
+        counts = _within(kept.postings, prefixes.select(F.col("prefix").alias("term")), prefixes=True)
+    else:
+        lengths = doc_lengths(chunks)
+        counts = tokens(chunks, stemmed).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
     # terms meet prefixes of their own beginnings by equality, never by a nested loop
     heads = prefixes.select("prefix").distinct().withColumn("n", F.length("prefix"))
     sizes = heads.agg(F.collect_set("n").alias("sizes"))

@@ -23,6 +23,8 @@ REFS = "from_path string, ord int, from_name string, to_name string, ref_kind st
 EDGES = "from_key string, to_key string, edge_kind string, weight double"
 VECTORS = "id long, embedding array<float>"
 TOMBSTONES = "chunk_id long"
+POSTINGS = "term string, chunk_id long, tf long"
+LENGTHS = "chunk_id long, len long"
 
 
 class Engine:
@@ -36,7 +38,7 @@ class Engine:
     # ------------------------------------------------------------ tables
 
     def _read(self, name: str) -> DataFrame:
-        schemas = {"files": FILES, "chunks": CHUNKS, "symbols": SYMBOLS, "refs": REFS, "edges": EDGES, "vectors": VECTORS, "tombstones": TOMBSTONES}
+        schemas = {"files": FILES, "chunks": CHUNKS, "symbols": SYMBOLS, "refs": REFS, "edges": EDGES, "vectors": VECTORS, "tombstones": TOMBSTONES, "postings": POSTINGS, "lengths": LENGTHS}
         return self.store.read(name, schemas[name])
 
     def live_chunks(self) -> DataFrame:
@@ -46,7 +48,24 @@ class Engine:
         vectors = self._read("vectors")
         return S.Index(
             self.live_chunks(), vectors if not vectors.isEmpty() else None, self._read("symbols"), self._read("refs"), self._read("edges"),
-            self._read("tombstones"), self.embedder, self.reranker)
+            self._read("tombstones"), self.inverted(), self.embedder, self.reranker)
+
+    def inverted(self) -> fulltext.Inverted | None:
+        """The kept full-text index of the live chunks; None in a folder that was written before there was one."""
+        if not (self.store.versions("postings") and self.store.versions("lengths")):
+            return None
+        tombs = self._read("tombstones")
+        return fulltext.Inverted(maintenance.compact(self._read("postings"), tombs), maintenance.compact(self._read("lengths"), tombs))
+
+    def _add_postings(self, fresh: DataFrame) -> None:
+        """Adds the postings of new chunks as a segment; the first time those of all chunks."""
+        first = self.inverted() is None
+        if not first and fresh.isEmpty():
+            return
+        added = fulltext.inverted((self.live_chunks() if first else fresh).select("chunk_id", "content"))
+        keep = self.store.write if first else self.store.append
+        keep("postings", added.postings)
+        keep("lengths", added.lengths)
 
     # ------------------------------------------------------------ building
 
@@ -84,6 +103,7 @@ class Engine:
         cut = cut.withColumn("language", T.detect_language(F.col("path"))).withColumn("chunk_hash", chunking.chunk_hash(F.col("content_hash"), F.col("chunk_ix"))).drop("content_hash")
         fresh = self.store.write("fresh_chunks", maintenance.allocate_ids(cut, old_chunks, tombs).select(*[f.split()[0] for f in CHUNKS.split(", ")]))
         chunks = self.store.write("chunks", old_chunks.unionByName(fresh))
+        self._add_postings(fresh)
         if with_vectors:
             self.store.write("vectors", self._read("vectors").unionByName(embed_table(fresh, self.embedder)))
         old_symbols = self._read("symbols").join(gone, "path", "left_anti")
@@ -127,6 +147,13 @@ class Engine:
         top = self.store.write("top_id", top.join(maintenance.compact(self._read("chunks"), tombs), "chunk_id", "left_anti"))
         self.store.write("chunks", maintenance.compact(self._read("chunks"), tombs))
         self.store.write("vectors", maintenance.compact(self._read("vectors"), tombs, "id"))
+        kept = self.inverted()
+        if kept is not None:
+            # segments become one sorted table
+            self.store.write("postings", kept.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+            self.store.write("lengths", kept.lengths)
+            self.store.prune("postings")
+            self.store.prune("lengths")
         self.store.write("tombstones", top)
 
     def record_access(self, accesses: DataFrame) -> None:

@@ -21,7 +21,8 @@ FAST_WEIGHTS = {"exact": 0.7, "fuzzy": 0.3}
 @dataclass
 class Index:
     """The tables that are searched. chunks: (chunk_id, path, content[, start_line, end_line, language]); vectors: (id,
-    embedding); symbols, refs, entity_edges as in the graph operators; tombstones: (chunk_id)."""
+    embedding); symbols, refs, entity_edges as in the graph operators; tombstones: (chunk_id).
+    inverted: the kept index of the chunks; without one every search tokenises them."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
@@ -29,6 +30,7 @@ class Index:
     refs: DataFrame | None = None
     entity_edges: DataFrame | None = None
     tombstones: DataFrame | None = None
+    inverted: fulltext.Inverted | None = None
     embedder: Embedder = field(default_factory=HashEmbedder)
     reranker: Reranker = field(default_factory=OverlapReranker)
 
@@ -38,8 +40,8 @@ def _channel(hits: DataFrame, source: str, id_col: str = "chunk_id") -> DataFram
 
 
 def fts_channels(index: Index, queries: DataFrame, config: Config) -> DataFrame:
-    exact = fulltext.bm25(index.chunks, queries, config.fts_top_k, match_all=True, stemmed=True)
-    fuzzy = fulltext.prefix_search(index.chunks, queries, config.fts_top_k, stemmed=True)
+    exact = fulltext.bm25(index.chunks, queries, config.fts_top_k, match_all=True, stemmed=True, kept=index.inverted)
+    fuzzy = fulltext.prefix_search(index.chunks, queries, config.fts_top_k, stemmed=True, kept=index.inverted)
     return _channel(exact, "exact").unionByName(_channel(fuzzy, "fuzzy"))
 
 

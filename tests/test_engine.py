@@ -6,6 +6,7 @@ import time
 import pytest
 
 from corvane.config import Config
+from corvane.operators import fulltext
 from corvane.plans.engine import Engine
 from corvane.streaming import events
 
@@ -86,3 +87,39 @@ def test_last_and_priority(spark):
     df = spark.createDataFrame(rows, "path string, change_type string, ts int")
     assert events.by_priority(df).first()["change_type"] == "deleted"
     assert events.last_per_path(df).first()["change_type"] == "created"
+
+
+def test_kept_index_finds_what_tokenising_finds(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    for i in range(12):
+        (root / f"n{i}.txt").write_text(f"caching of pages {i} " + "server " * (i % 4) + ("cafés open" if i % 3 else "tokens verified") + "\n")
+    engine = Engine(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(0, "cached page"), (1, "cafe server"), (2, "verify tok"), (3, ""), (4, None), (5, "absent")], "query_id int, query string")
+
+    def same():
+        chunks, kept = engine.live_chunks(), engine.inverted()
+        for search in (fulltext.bm25, fulltext.prefix_search):
+            found = {tuple(r) for r in search(chunks, asked, kept=kept).collect()}
+            assert found == {tuple(r) for r in search(chunks, asked, stemmed=True).collect()} and found
+        assert kept.lengths.count() == chunks.count()
+
+    engine.sync(str(root))
+    time.sleep(1.1)
+    (root / "n1.txt").write_text("the server verifies cached pages twice\n")
+    (root / "n2.txt").unlink()
+    engine.sync(str(root))
+    assert engine.store.segments("postings", 1) == [1]
+    same()
+    engine.compact()
+    assert engine.store.segments("postings", 2) == []
+    same()
+    # few terms are pushed to the scan
+    plan = fulltext.bm25(engine.live_chunks(), asked, kept=engine.inverted())._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan and "content" not in plan
+    # a folder from before there was a kept index gets it whole
+    for name in ("postings", "lengths"):
+        engine.store._fs.delete(engine.store._path(f"{engine.store.root}/{name}"), True)
+    assert engine.inverted() is None
+    engine._add_postings(engine.live_chunks().limit(0))
+    assert engine.inverted().lengths.count() == engine.live_chunks().count()
