@@ -116,3 +116,8 @@ def test_search_fast(spark, slow):
     got = driver.queries()["search_fast"](spark, SF).collect()
     same(got, slow.found(placed({k: v for k, v in slow.lists.items() if k[1] in plan.FAST_WEIGHTS}), plan.FAST_WEIGHTS))
     assert all(r["path"] == slow.path[r["chunk_id"]] for r in got)
+
+
+def test_search_balanced(spark, slow):
+    lists = placed(slow.lists | {(q, "vector"): slow.hamming(q) for q in slow.query})
+    same(driver.queries()["search_balanced"](spark, SF).collect(), slow.found(lists, None))
