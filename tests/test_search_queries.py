@@ -121,3 +121,22 @@ def test_search_fast(spark, slow):
 def test_search_balanced(spark, slow):
     lists = placed(slow.lists | {(q, "vector"): slow.hamming(q) for q in slow.query})
     same(driver.queries()["search_balanced"](spark, SF).collect(), slow.found(lists, None))
+
+
+def test_search_thorough(spark, slow):
+    """Seeds, vectors, fusion and reranking by plain loops; both graph channels, which have tests of their own, from these seeds."""
+    index, lists = queries._index(spark, SF), placed(slow.lists | {(q, "vector"): slow.cosine(q) for q in slow.query})
+    for source, channel in (("graph", plan.graph_channel), ("entity", plan.entity_channel)):
+        seeds = []
+        for q in slow.query:
+            top = defaultdict(lambda: -math.inf)
+            for (of, _), ranked in lists.items():
+                for i, score, _ in ranked if of == q else ():
+                    top[i] = max(top[i], score)
+            seeds += [(q, i, float(s), at) for at, (i, s) in enumerate(best(top, 10), 1)]
+        found = defaultdict(list)
+        for r in channel(index, spark.createDataFrame(seeds, "query_id long, doc_id long, score double, rank int"), Config()).collect():
+            found[r["query_id"], source].append((r["doc_id"], r["score"], r["rank"]))
+        assert found
+        lists |= found
+    same(driver.queries()["search_thorough"](spark, SF).collect(), slow.found(lists, None))
