@@ -140,3 +140,16 @@ def test_search_thorough(spark, slow):
         assert found
         lists |= found
     same(driver.queries()["search_thorough"](spark, SF).collect(), slow.found(lists, None))
+
+
+def test_search_files(spark, slow):
+    found = slow.found(placed({k: v for k, v in slow.lists.items() if k[1] in plan.FAST_WEIGHTS}), plan.FAST_WEIGHTS, 50)
+    want = defaultdict(lambda: defaultdict(list))
+    for (q, rank), (i, score) in sorted(found.items()):
+        want[q][slow.path[i]].append((i, score))
+    got = defaultdict(list)
+    for r in driver.queries()["search_files"](spark, SF).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["path"], r["best_doc_id"], r["doc_ids"], r["rank"]))
+    assert got and got == {
+        q: [(p, rows[0][0], ",".join(str(i) for i, _ in rows), at) for at, (p, rows) in enumerate(sorted(files.items(), key=lambda f: (-f[1][0][1], f[0]))[:10], 1)]
+        for q, files in want.items()}
