@@ -9,8 +9,9 @@ where a variant is equal: at all of them if their pieces are equal, at just one
 Candidates are verified by the Hamming distance of the whole signatures. Every pair within ``max_distance`` is found.
 
 The greater the distance, the shorter are the pieces and the more signatures share a variant by chance: with distance 19
-the candidates are N * N / 60 or so for N distinct signatures: minutes of one CPU at 10**6, the greater part of the work
-beyond 10**7. ``max_distance=7, segments=4`` has variants of 31 bits and serves 10**10.
+N * N / 60 or so pairs of N distinct signatures do. Signatures that share one are sorted by word count, and compared with those
+next to them whose counts may be within the ratio, by one word of the signature first. ``max_distance=7, segments=4`` has
+variants of 31 bits and serves 10**10.
 """
 
 from __future__ import annotations
@@ -133,64 +134,137 @@ def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-#: Buckets of up to so many signatures are compared pair by pair, all buckets at once.
+#: Seeds of a bucket of many near copies that are compared with it at once.
 _SMALL = 64
-#: Signatures of a large bucket that as many seeds are compared with at once.
+#: Signatures of such a bucket that as many seeds are compared with at once.
 _WIDE = 4096
+#: Neighbouring rows that are compared with those a step further at once, so that they stay in the cache.
+_TILE = 4096
+#: Pairs found for each row of a tile (of a bucket: half of them) from which on a bucket is one of many near copies.
+_DENSE = 8
+
+
+def _reached(left: np.ndarray, high: np.ndarray, low: np.ndarray, n: np.ndarray, max_distance: int, min_ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect what the near pairs of left (indexes) connect.
+
+    Signatures without a near one are found and dropped many at once; from the others a breadth-first search compares
+    each newly reached signature with those not yet reached only, so many near copies cost little more than their number.
+    """
+    while len(left):
+        seeds = left[:_SMALL]
+        near = np.zeros(len(seeds), dtype=np.int64)
+        for at in range(0, len(left), _WIDE):
+            near += _near(high, low, n, seeds[:, None], left[None, at : at + _WIDE], max_distance, min_ratio).sum(axis=1)
+        # each is near itself
+        reached, left = seeds[near > 1].tolist(), np.r_[seeds[near > 1], left[len(seeds) :]]
+        for seed in reached:
+            if not (left[:_SMALL] == seed).any():
+                continue  # reached from an earlier one
+            left, fresh = left[left != seed], [seed]
+            while fresh and len(left):
+                at = fresh.pop()
+                ok = _near(high, low, n, np.full(len(left), at), left, max_distance, min_ratio)
+                yield np.full(int(ok.sum()), at), left[ok]
+                fresh += left[ok].tolist()
+                left = left[~ok]
+
+
+def _stepped(bucket: np.ndarray, reach: np.ndarray, high: np.ndarray, low: np.ndarray, n: np.ndarray, max_distance: int, min_ratio: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(near pairs of each row with the next reach rows, numbers of the buckets that have too many of them and are left out).
+
+    Rows are sorted by bucket (numbered from 0). All of a tile meet the rows a step further at once, whether these are within
+    reach or not: a near pair is one in any case. high is compared first, which nearly all pairs fail.
+    """
+    found, dense = [], np.zeros(int(bucket[-1]) + 1, dtype=bool)
+    bits, counted = np.empty(_TILE, np.uint64), np.empty(_TILE, np.uint8)
+
+    def steps(at: int, ahead: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = 1
+        while step <= (most := int(ahead.max())):
+            within = np.flatnonzero(ahead >= step)
+            start, stop = at + int(within[0]), at + int(within[-1]) + 1
+            for k in range(step, min(step + 16, most + 1)):
+                size = min(stop, len(bucket) - k) - start
+                apart = np.bitwise_xor(high[start : start + size], high[start + k : start + k + size], out=bits[:size])
+                x = start + np.flatnonzero(np.bitwise_count(apart, out=counted[:size]) <= max_distance)
+                if len(x):
+                    yield x, x + k
+            step += 16
+
+    for at in range(0, len(bucket), _TILE):
+        of, ahead = bucket[at : at + _TILE], reach[at : at + _TILE].copy()
+        ahead[dense[of]] = 0
+        held, size, sure, count = [], 0, [], 0
+
+        def verify() -> None:
+            nonlocal held, size, sure, count
+            x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+            ok = _near(high, low, n, x, y, max_distance, min_ratio)
+            sure.append((x[ok], y[ok]))
+            held, size, count = [], 0, count + int(ok.sum())
+            if count > _DENSE * len(of):
+                x, y = (np.concatenate(c) for c in zip(*sure, strict=True))
+                # a pair counts for the bucket of its first row
+                many = np.bincount(bucket[x] - of[0], minlength=int(of[-1] - of[0]) + 1) > _DENSE // 2 * np.bincount(of - of[0])
+                dense[of[0] : of[-1] + 1] |= many
+                kept = ~dense[bucket[x]]
+                sure, count = [(x[kept], y[kept])], int(kept.sum())
+                ahead[dense[of]] = 0
+
+        for pair in steps(at, ahead):
+            held.append(pair)
+            size += len(pair[0])
+            if size > 2 * _DENSE * len(of):
+                verify()
+        if held:
+            verify()
+        found += sure
+    return found, np.flatnonzero(dense)
 
 
 def _links(g: np.ndarray, other: np.ndarray, width: np.ndarray, high: np.ndarray, low: np.ndarray, n: np.ndarray, max_distance: int, min_ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect just those of the signatures that verified pairs of the same variant bucket connect.
+    """Edges that connect all signatures that verified pairs of the same variant bucket connect, and none that near pairs don't.
 
-    A bucket holds the signatures with one g and one value of the other half but for a deleted bit. Small buckets are
-    compared pair by pair. In large ones signatures without a near one are found and dropped many at once; from the others
-    a breadth-first search compares each newly reached signature with those not yet reached only, so a bucket of many
-    near copies costs little more than its size, and no pair is left undecided.
+    A bucket holds the signatures with one g and one value of the other half but for a deleted bit, sorted by word count: what may
+    be within min_ratio of a signature comes next to it. Those are compared step by step, all buckets at once, and buckets
+    of many near copies by a breadth-first search. No pair is left undecided.
     """
-    found_a, found_b = [], []
+    rows = len(g)
+    none = np.zeros(0, np.int64)
+    if rows < 2:
+        return none, none
+    by_n = np.lexsort((n, g))
+    group = np.cumsum(np.r_[0, np.diff(g[by_n]) != 0])
+    other, width, high, low, n = other[by_n], width[by_n], high[by_n], low[by_n], n[by_n]
+    # where word counts of a group get too large for that of a row; a little further on, as pairs are verified anyway
+    limit = np.full(rows, rows)
+    if min_ratio > 0:
+        counts, most = np.r_[n, n / min_ratio * (1 + 1e-9) + 1], (1 << 40) - 1
+        counts = (np.r_[group, group] << 40) | np.minimum(counts, most).astype(np.int64)
+        limit = np.searchsorted(counts[:rows], counts[rows:], side="right")
+    place = int(rows).bit_length()
+    a, b = none, none
     for bit in range(int(width.max())):
-        rows = np.flatnonzero(width > bit)
-        rest = other[rows] & ~np.int64(1 << bit)
-        order = np.lexsort((rest, g[rows]))
-        rows, key_g, key_rest = rows[order], g[rows][order], rest[order]
-        head = np.flatnonzero(np.r_[True, (key_g[1:] != key_g[:-1]) | (key_rest[1:] != key_rest[:-1])])
-        size = np.diff(np.r_[head, len(rows)])
-        bucket = np.repeat(np.arange(len(head)), size)
-        small = np.flatnonzero((size > 1)[bucket] & (size <= _SMALL)[bucket])
-        for step in range(1, _SMALL):
-            if len(small) <= step:
-                break
-            x, y = small[:-step], small[step:]
-            same = bucket[x] == bucket[y]
-            if not same.any():
-                break
-            x, y = rows[x[same]], rows[y[same]]
-            ok = _near(high, low, n, x, y, max_distance, min_ratio)
-            found_a.append(x[ok])
-            found_b.append(y[ok])
-        for k in np.flatnonzero(size > _SMALL):
-            left = rows[head[k] : head[k] + size[k]]
-            while len(left):
-                seeds = left[:_SMALL]
-                near = np.zeros(len(seeds), dtype=np.int64)
-                for at in range(0, len(left), _WIDE):
-                    near += _near(high, low, n, seeds[:, None], left[None, at : at + _WIDE], max_distance, min_ratio).sum(axis=1)
-                # each is near itself
-                reached, left = seeds[near > 1].tolist(), np.r_[seeds[near > 1], left[len(seeds) :]]
-                for seed in reached:
-                    if not (left[:_SMALL] == seed).any():
-                        continue  # reached from an earlier one
-                    left, fresh = left[left != seed], [seed]
-                    while fresh and len(left):
-                        at = fresh.pop()
-                        ok = _near(high, low, n, np.full(len(left), at), left, max_distance, min_ratio)
-                        found_a.append(np.full(int(ok.sum()), at))
-                        found_b.append(left[ok])
-                        fresh += left[ok].tolist()
-                        left = left[~ok]
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+        have = np.flatnonzero(width > bit)
+        rest = other[have] & ~np.int64(1 << bit)
+        if int(group[-1]).bit_length() + int(rest.max()).bit_length() + place > 62:
+            rest = np.unique(rest, return_inverse=True)[1]
+        key = (group[have] << int(rest.max()).bit_length()) | rest
+        # sorted by bucket, then by word count
+        order = np.sort((key << place) | have)
+        at, key = order & ((1 << place) - 1), order >> place
+        end = np.searchsorted(order, (key << place) + limit[at])
+        bucket = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+        found, dense = _stepped(bucket, end - np.arange(1, len(at) + 1), high[at], low[at], n[at], max_distance, min_ratio)
+        found = [(at[x], at[y]) for x, y in found]
+        for k in dense:
+            found += _reached(at[np.searchsorted(bucket, k) : np.searchsorted(bucket, k, side="right")], high, low, n, max_distance, min_ratio)
+        a, b = (np.concatenate([old, *(pair[i] for pair in found)]) for i, old in enumerate((a, b)))
+        if len(a) > 4 * rows:
+            root = _forest(rows, a, b)
+            a = np.flatnonzero(root != np.arange(rows))
+            b = root[a]
+    return by_n[a], by_n[b]
 
 
 #: Rows of complete groups that are searched at once.
@@ -245,6 +319,9 @@ def near_links(nodes: DataFrame, segments: int = SEGMENTS, max_distance: int = M
         for k in np.unique(half):
             at, (start, stop) = np.flatnonzero(half == k), halves[k][1]
             rest[at], width[at] = _bits(high[at], low[at], start, stop), stop - start
+        # the word without the piece tells more of two signatures that share it: it is compared first
+        word = np.array([kept[0] < 64 for kept, _ in halves])[half]
+        high, low = np.where(word, low, high), np.where(word, high, low)
         group = np.cumsum(np.r_[False, (c["g"][1:] != c["g"][:-1]) | (c["pair"][1:] != c["pair"][:-1])])
         a, b = _links(group, rest, width, high, low, c["n"], max_distance, min_ratio)
         root = _forest(len(rep), node[a], node[b])

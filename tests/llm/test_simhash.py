@@ -81,3 +81,42 @@ def test_bits_are_those_of_the_columns(spark):
     for start, stop in ((0, 5), (58, 64), (60, 71), (64, 70), (120, 128), (33, 64)):
         want = [r[0] for r in table.orderBy("rep").select(simhash._take(table.high, table.low, start, stop)).collect()]
         assert simhash._bits(h[:, 0], h[:, 1], start, stop).tolist() == want
+
+
+def test_few_of_a_large_bucket_are_verified(monkeypatch):
+    """Whole signatures are compared for those pairs only whose word counts and first words leave it open."""
+    rng, seen = np.random.default_rng(6), []
+    near = simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda high, low, n, a, b, *limits: seen.append(np.broadcast(a, b).size) or near(high, low, n, a, b, *limits))
+    h, n = rng.integers(0, 2**64, (3000, 2), dtype=np.uint64), np.exp(rng.normal(6, 1, 3000)).astype(np.int64) + 1
+    # one pair is near, at the least ratio that is allowed
+    h[1], n[:2] = h[0] ^ np.uint64(5), (800, 1000)
+    zero = np.zeros(3000, np.int64)
+    a, b = simhash._links(zero, zero, zero + 1, h[:, 0], h[:, 1], n, 19, 0.8)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(0, 1)}
+    assert sum(seen) < 3000 * 3000 / 2 / 20
+
+
+@pytest.mark.parametrize("tile", [16, 4096])
+@pytest.mark.parametrize("ratio", [0.0, 0.8, 1.0])
+def test_buckets_of_all_sizes_against_pairs(monkeypatch, tile, ratio):
+    """Many groups and buckets in one call, some of near copies, with word counts on both sides of the ratio."""
+    monkeypatch.setattr(simhash, "_TILE", tile)
+    rng = np.random.default_rng(7)
+    centers = rng.integers(0, 2**64, (12, 2), dtype=np.uint64)
+    h = centers[rng.choice(12, 900, p=[0.3, 0.2] + [0.05] * 10)]
+    for x in h:
+        for b in rng.choice(128, int(rng.integers(0, 14)), replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    g, n = rng.integers(0, 5, 900), rng.integers(50, 130, 900)
+    other, width = rng.integers(0, 8, 900), np.where(g < 2, 2, 3)
+    other &= (1 << width) - 1
+    i, j = np.triu_indices(900, 1)
+    ok = simhash._near(h[:, 0], h[:, 1], n, i, j, 19, ratio)
+    whole = simhash._forest(900, i[ok], j[ok])
+    met = ok & (g[i] == g[j]) & (np.bitwise_count(other[i] ^ other[j]) <= 1)
+    least = simhash._forest(900, i[met], j[met])
+    a, b = simhash._links(g, other, width, h[:, 0], h[:, 1], n, 19, ratio)
+    got = simhash._forest(900, a, b)
+    # all that a bucket connects, and nothing that near pairs don't
+    assert (got[least] == got).all() and (whole[got] == whole).all()
