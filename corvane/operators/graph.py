@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +29,45 @@ def edge_score(kind: Column, direction: Column, distance: Column) -> Column:
 def resolve_refs(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """refs with to_symbol_id filled, where it is null, by the smallest id of the symbols of that name."""
     first = symbols.groupBy("name").agg(F.min("id").alias("__id"))
+    first = spread(first)
     return refs.join(first, refs["to_name"] == first["name"], "left").withColumn("to_symbol_id", F.coalesce("to_symbol_id", "__id")).drop("__id", "name")
 
 
-def edge_chunks(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs with from_chunk and to_chunk: by symbol id, else of the first symbol of that name."""
+def spread(df: DataFrame) -> DataFrame:
+    """df, for joins by shuffle: of repetitive names files hold a fraction of their size in memory, so by the size of
+    its files a table of symbols passes for one that may be broadcast."""
+    return df.hint("merge")
+
+
+def edge_chunks(refs: DataFrame, symbols: DataFrame, sides: tuple[str, ...] = ("from", "to")) -> DataFrame:
+    """refs with from_chunk and to_chunk (or one of them): by symbol id, else of the first symbol of that name."""
     ids = symbols.select("id", "chunk_id")
     first = symbols.groupBy("name").agg(F.min_by("chunk_id", "id").alias("chunk_id"))
     out = refs
-    for side in ("from", "to"):
-        by_id = ids.select(F.col("id").alias(f"{side}_symbol_id"), F.col("chunk_id").alias("__by_id"))
-        by_name = first.select(F.col("name").alias(f"{side}_name"), F.col("chunk_id").alias("__by_name"))
-        out = out.join(by_id, f"{side}_symbol_id", "left").join(by_name, f"{side}_name", "left")
+    for side in sides:
+        by_id = spread(ids.select(F.col("id").alias("__id"), F.lit(False).alias("__none"), F.col("chunk_id").alias("__by_id")))
+        by_name = spread(first.select(F.col("name").alias(f"{side}_name"), F.col("chunk_id").alias("__by_name")))
+        # rows without an id are spread by their names, or they would all meet in one task
+        key = F.coalesce(F.col(f"{side}_symbol_id").cast("long"), F.xxhash64(f"{side}_name"))
+        out = out.withColumn("__id", key).withColumn("__none", F.col(f"{side}_symbol_id").isNull()).join(by_id, ["__id", "__none"], "left").drop("__id", "__none").join(by_name, f"{side}_name", "left")
         out = out.withColumn(f"{side}_chunk", F.coalesce("__by_id", "__by_name")).drop("__by_id", "__by_name")
     return out
 
 
+@dataclass(frozen=True)
+class Edges:
+    """Edges looked up at their far ends only: forward (from_name, to_chunk, ref_kind), backward (to_name, from_chunk, ref_kind)."""
+
+    forward: DataFrame
+    backward: DataFrame
+
+
+def edge_ends(refs: DataFrame, symbols: DataFrame) -> Edges:
+    """edge_chunks() for traversals, which need the chunk of one end a direction."""
+    forward, backward = edge_chunks(refs, symbols, ("to",)), edge_chunks(refs, symbols, ("from",))
+    return Edges(forward.select("from_name", "to_chunk", "ref_kind"), backward.select("to_name", "from_chunk", "ref_kind"))
+
+
 def seeds(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     """(query_id, symbol_id, name, chunk_id): symbols named as the whole query or, for queries without one, as a token of it."""
     named = symbols.select(F.col("id").alias("symbol_id"), "name", "chunk_id")
@@ -52,16 +77,17 @@ def seeds(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     return whole.unionByName(tokens).select("query_id", "symbol_id", "name", "chunk_id")
 
 
-def neighbours(seed: DataFrame, edges: DataFrame, share: float = 1.0) -> DataFrame:
+def neighbours(seed: DataFrame, edges: DataFrame | Edges, share: float = 1.0) -> DataFrame:
     """(query_id, chunk_id, score) along edges (from_name, to_name, from_chunk, to_chunk, ref_kind): contributions of each seed."""
-    forward = seed.join(edges, seed["name"] == edges["from_name"]).select(
+    ahead, behind = (edges.forward, edges.backward) if isinstance(edges, Edges) else (edges, edges)
+    forward = seed.join(ahead, seed["name"] == ahead["from_name"]).select(
         "query_id", F.col("chunk_id").alias("own"), F.col("to_chunk").alias("chunk_id"), (edge_score(F.col("ref_kind"), F.lit("forward"), F.lit(1.0)) * share).alias("score"))
-    backward = seed.join(edges, seed["name"] == edges["to_name"]).select(
+    backward = seed.join(behind, seed["name"] == behind["to_name"]).select(
         "query_id", F.col("chunk_id").alias("own"), F.col("from_chunk").alias("chunk_id"), (edge_score(F.col("ref_kind"), F.lit("backward"), F.lit(1.0)) * share).alias("score"))
     return forward.unionByName(backward).filter("chunk_id is not null and (own is null or own <> chunk_id)").select("query_id", "chunk_id", "score")
 
 
-def traverse(seed: DataFrame, edges: DataFrame, k: int | None = None, exclude_seeds: bool = False) -> DataFrame:
+def traverse(seed: DataFrame, edges: DataFrame | Edges, k: int | None = None, exclude_seeds: bool = False) -> DataFrame:
     """(query_id, chunk_id, score): 1 for each seed symbol of a chunk and the contributions of the edges to it."""
     base = seed.filter("chunk_id is not null").select("query_id", "chunk_id", F.lit(1.0).alias("score"))
     total = base.unionByName(neighbours(seed, edges)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
@@ -73,11 +99,17 @@ def traverse(seed: DataFrame, edges: DataFrame, k: int | None = None, exclude_se
     return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def one_hop(scored: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """scored with the chunks one hop further, at a quarter of their edges' scores; scored chunks keep their score."""
-    names = scored.join(symbols.select(F.col("chunk_id"), "name"), "chunk_id").select("query_id", "name", "chunk_id").distinct()
-    further = neighbours(names, edges, HOP_SHARE).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return scored.select("query_id", "chunk_id", "score").unionByName(further.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score")))
+def one_hop(scored: DataFrame, edges: DataFrame | Edges, symbols: DataFrame) -> DataFrame:
+    """scored with the chunks one hop further, at a quarter of their edges' scores; scored chunks keep their score.
+
+    A chunk hands on the same whoever reached it, so edges are added up once for each pair of chunks and not for each query.
+    """
+    pairs = scored.select("query_id", "chunk_id").distinct()
+    names = symbols.select("chunk_id", "name").distinct().join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    steps = neighbours(spread(names.select(F.col("chunk_id").alias("query_id"), "name", "chunk_id")), edges, HOP_SHARE).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    steps = steps.select(F.col("query_id").alias("own"), F.col("chunk_id").alias("to"), "score")
+    further = pairs.withColumnRenamed("chunk_id", "own").join(steps, "own").groupBy("query_id", F.col("to").alias("chunk_id")).agg(F.round(F.sum("score"), 6).alias("score"))
+    return scored.select("query_id", "chunk_id", "score").unionByName(further.join(pairs, ["query_id", "chunk_id"], "left_anti"))
 
 
 def collapse(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _seeds(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     symbols, refs = _rel(spark, sf_dir, "symbols", "refs")
-    return op.edge_chunks(refs, symbols)
+    return op.edge_ends(refs, symbols)
 
 
 _NAMED = "(SELECT concat(replace(p_name, ' ', '_'), '_', p_partkey) FROM part WHERE p_partkey = 7)"
@@ -97,7 +97,8 @@ def resolve_refs(spark, sf_dir):
 
 @query(f"WITH {_EDGES} SELECT from_name, to_name, line, from_chunk, to_chunk FROM edges", ("refs", "symbols"))
 def resolve_edge_chunk(spark, sf_dir):
-    return _edges(spark, sf_dir).select("from_name", "to_name", "line", "from_chunk", "to_chunk")
+    symbols, refs = _rel(spark, sf_dir, "symbols", "refs")
+    return op.edge_chunks(refs, symbols).select("from_name", "to_name", "line", "from_chunk", "to_chunk")
 
 
 @query(f"SELECT ref_kind, direction, round({_KIND} * CASE direction WHEN 'backward' THEN 1.3 ELSE 0.6 END::DOUBLE / line, 6) AS score, count(*) AS n FROM refs, (VALUES ('forward'), ('backward'), ('sideways')) d(direction) GROUP BY ALL", ("refs",))
