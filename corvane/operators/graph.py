@@ -237,14 +237,22 @@ def cochange(files: DataFrame, first: int = 8, weight: float = 0.6) -> DataFrame
 
 
 def cooccurring(terms: DataFrame, symbols: DataFrame, max_terms: int = 5, max_chunks: int = 30, k: int = 5) -> DataFrame:
-    """(query_id, name, rank): other symbols in the chunks of a query's first terms (query_id, name, rank[, query])."""
+    """(query_id, name, rank): other symbols in the chunks of a query's first terms (query_id, name, rank[, query]).
+
+    Queries meet only the beginning of a chunk's names in their order. Before k are found, fewer than k others and the
+    query's own terms can stand in the way, so 2 * k and as many as a query has terms are enough of each chunk.
+    """
     few = terms.filter(F.col("rank") <= max_terms)
     chunks = few.select("query_id", "name").join(symbols.select("name", "chunk_id"), "name").select("query_id", "chunk_id").distinct()
     order = Window.partitionBy("query_id").orderBy("chunk_id")
     chunks = chunks.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= max_chunks)
-    near = chunks.join(symbols.filter("length(name) > 2").select("chunk_id", "name", "kind"), "chunk_id")
-    near = near.filter(F.col("kind").isin("class", "function") | ~F.col("name").startswith("_"))
     known = terms.select("query_id", F.lower("name").alias("low")).distinct()
-    fresh = near.withColumn("low", F.lower("name")).join(known, ["query_id", "low"], "left_anti").groupBy("query_id", "low").agg(F.min(F.struct("chunk_id", "name")).alias("first"))
+    longest = known.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("longest"))
+    listed = symbols.filter((F.length("name") > 2) & F.col("chunk_id").isNotNull() & (F.col("kind").isin("class", "function") | ~F.col("name").startswith("_")))
+    listed = listed.groupBy("chunk_id", F.lower("name").alias("low")).agg(F.min("name").alias("name"))
+    first = listed.withColumn("place", F.row_number().over(Window.partitionBy("chunk_id").orderBy("name", "low")))
+    first = first.crossJoin(F.broadcast(longest)).filter(F.col("place") <= 2 * k + F.col("longest"))
+    near = chunks.select("query_id", "chunk_id").join(first.select("chunk_id", "low", "name"), "chunk_id")
+    fresh = near.join(known, ["query_id", "low"], "left_anti").groupBy("query_id", "low").agg(F.min(F.struct("chunk_id", "name")).alias("first"))
     pick = Window.partitionBy("query_id").orderBy("first", "low")
     return fresh.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= k).select("query_id", F.col("first.name").alias("name"), "rank")

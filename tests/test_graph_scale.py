@@ -53,3 +53,22 @@ def test_symbols_are_not_broadcast_unread(spark, name):
     """By its compressed size a table of symbols looks small enough."""
     plan = driver.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_cooccurring_meets_the_beginnings_of_chunks(spark):
+    symbols = [(i, f"{'_' if i % 11 == 0 else ''}{'Ab' if i % 3 else 'aB'}{i % 97:03d}", ("class", "variable")[i % 2], i % 4) for i in range(1000)]
+    symbols += [(2000 + i, f"only{i}", "class", 7 + i // 3) for i in range(6)]
+    terms = [(q, symbols[q * 3][1], at) for q in range(300) for at in (1, 2)] + [(900, f"only{i}", i + 1) for i in range(4)]
+    terms += [(q, symbols[q * 3 + 4][1], 3) for q in range(300)]
+    want = {}
+    for q in {t[0] for t in terms}:
+        own = {n for t, n, _ in terms if t == q}
+        chunks = {c for _, n, _, c in symbols if n in own}
+        first = {}
+        for c, n in sorted((c, n) for _, n, kind, c in symbols if c in chunks and len(n) > 2 and (kind == "class" or n[0] != "_") and n.lower() not in {x.lower() for x in own}):
+            first.setdefault(n.lower(), (c, n))
+        for at, (_, n) in enumerate(sorted(first.values())[:5], 1):
+            want[q, at] = n
+    df = graph.cooccurring(spark.createDataFrame(terms, "query_id long, name string, rank int"), spark.createDataFrame(symbols, SYMBOL))
+    assert {(r["query_id"], r["rank"]): r["name"] for r in df.collect()} == want
+    assert most_rows(df) < 30_000
