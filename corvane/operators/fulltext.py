@@ -2,20 +2,29 @@
 
 Chunks are (chunk_id, content). An index has postings (term, chunk_id, tf, positions), doc_lengths (chunk_id, len)
 and the corpus row (n_docs, avgdl). Queries come as a batch (query_id, query). Only the terms of the batch are kept
-before anything is grouped, so the shuffle holds the postings of those terms and not the corpus.
+before anything is grouped, so the shuffle holds the postings of those terms and not the corpus. A batch that can be sent
+to all tasks is counted and scored where chunks are, and only the best of each task are exchanged.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.stem import porter, stem
 from corvane.functions.text import words
+from corvane.operators.best import Best
+from corvane.plans.lineage import cut
 
 K1, B = 1.2, 0.75
 
@@ -110,11 +119,155 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, match_all: bool = False, stemmed: bool = False, kept: Inverted | None = None) -> DataFrame:
+#: Pairs of query and term of a batch that is sent to all tasks; larger ones are joined.
+PAIRS = 200_000
+
+
+@dataclass(frozen=True)
+class Counted:
+    """What a batch of queries has in chunks: table (chunk_id, len, and for "exact" and "prefix" the places in terms and how
+    often each occurs), how many chunks have each, and the batch itself: query_id and places in terms."""
+
+    table: DataFrame
+    terms: list[str]
+    asked: list[tuple[object, list[int]]]
+    n_docs: int
+    avgdl: float
+    df: dict[str, np.ndarray]
+
+
+def counted(chunks: DataFrame, queries: DataFrame, stemmed: bool = False, kinds: tuple[str, ...] = ("exact",), most: int | None = None) -> Counted | None:
+    """Counts the terms of a batch, or the terms that they begin, in one reading of chunks, each chunk where it is.
+
+    None if the batch is too large to be sent to all tasks or ids of chunks are null or repeated.
+    """
+    most = PAIRS if most is None else most
+    pairs = query_terms(queries, stemmed).select("query_id", "term").limit(most + 1).collect()
+    if len(pairs) > most:
+        return None
+    terms = sorted({r["term"] for r in pairs})
+    at = {t: i for i, t in enumerate(terms)}
+    asked: dict[object, list[int]] = {}
+    for r in pairs:
+        asked.setdefault(r["query_id"], []).append(at[r["term"]])
+    sizes = sorted({len(t) for t in terms})
+    marks = str.maketrans(*_accents())
+
+    def places(word: str, kind: str) -> tuple[int, ...]:
+        if not word:
+            return ()
+        if stemmed:
+            word = porter(word.translate(marks))
+        if kind == "exact":
+            return (at[word],) if word in at else ()
+        return tuple(at[word[:n]] for n in sizes if n <= len(word) and word[:n] in at)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[str, tuple[int, ...]]] = {kind: {} for kind in kinds}
+        for whole in batches:
+            # some MB of text at once, however long texts are
+            bytes_ = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy().astype(np.int64))]
+            hi = 0
+            while hi < whole.num_rows:
+                lo, hi = hi, max(hi + 1, int(np.searchsorted(bytes_, bytes_[hi] + 2_000_000, side="right")) - 1)
+                batch = whole.slice(lo, hi - lo)
+                # what lies between words() of a lower-cased text; its ends may be empty
+                listed = pc.split_pattern_regex(batch.column("text"), r"[^\p{L}\p{N}]+")
+                n, parts = batch.num_rows, pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
+                coded = listed.flatten().dictionary_encode()
+                codes, rows, distinct = coded.indices.to_numpy(), np.repeat(np.arange(n), parts), coded.dictionary.to_pylist()
+                lens = np.bincount(rows[np.array([w != "" for w in distinct], dtype=bool)[codes]], minlength=n)
+                out = [batch.column("chunk_id"), pa.array(lens)]
+                for kind in kinds:
+                    memory = known[kind]
+                    met = [memory[w] if w in memory else places(w, kind) for w in distinct]
+                    if len(memory) < 50_000:  # frequent words come early
+                        memory.update(zip(distinct, met, strict=True))
+                    width = np.array([len(m) for m in met], dtype=np.int64)
+                    flat = np.array([x for m in met for x in m], dtype=np.int64)
+                    begin = np.r_[0, np.cumsum(width)][:-1]
+                    fit = width[codes] > 0 if len(codes) else np.zeros(0, bool)
+                    c, r = codes[fit], rows[fit]
+                    times = width[c]
+                    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    key, tf = np.unique(np.repeat(r, times) * max(1, len(terms)) + flat[np.repeat(begin[c], times) + within], return_counts=True)
+                    row, term = np.divmod(key, max(1, len(terms)))
+                    offsets = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+                    out += [pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(out, names=["chunk_id", "len", *(x for kind in kinds for x in (kind, f"{kind}_tf"))])
+
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("len", T.LongType()), *(T.StructField(x, ints) for kind in kinds for x in (kind, f"{kind}_tf"))])
+    table = cut(chunks.select("chunk_id", F.lower("content").alias("text")).mapInArrow(count, schema))
+    n_docs, n_ids, avgdl = table.agg(F.count("*"), F.count_distinct("chunk_id"), F.avg("len")).first()
+    if n_docs != n_ids:
+        return None
+    df = {}
+    for kind in kinds:
+        df[kind] = np.zeros(len(terms))
+        for r in table.select(F.explode(kind).alias("term")).groupBy("term").count().collect():
+            df[kind][r["term"]] = r["count"]
+    return Counted(table, terms, list(asked.items()), n_docs, avgdl or 0.0, df)
+
+
+def _best(found: Counted, queries: DataFrame, k: int, kind: str, match_all: bool) -> DataFrame:
+    """(query_id, chunk_id, score, rank): every chunk meets the queries of its terms where it is; a task puts out k rows a query."""
+    n_queries, n_terms = len(found.asked), np.array([len(ts) for _, ts in found.asked], dtype=np.int64)
+    of = sorted((t, q) for q, (_, ts) in enumerate(found.asked) for t in ts)
+    by_term = np.array([q for _, q in of], dtype=np.int64)
+    begin = np.searchsorted(np.array([t for t, _ in of], dtype=np.int64), np.arange(len(found.terms) + 1))
+    df = found.df[kind]
+    weight = np.maximum(np.log((found.n_docs - df + 0.5) / (df + 0.5)), 1e-6)
+    avgdl, kind_of_query = found.avgdl, queries.schema["query_id"].dataType
+    names, arrow, most = [q for q, _ in found.asked], to_arrow_type(kind_of_query), 4_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind_of = Best(n_queries, k), None
+        for batch in batches:
+            kind_of = batch.column("chunk_id").type
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object else ids
+            lens, listed = batch.column("len").to_numpy(), batch.column(kind)
+            each = pc.list_value_length(listed).to_numpy().astype(np.int64)
+            term, tf = listed.flatten().to_numpy(), batch.column(f"{kind}_tf").flatten().to_numpy()
+            row = np.repeat(np.arange(len(each)), each)
+            value = weight[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[row] / avgdl)))
+            times = begin[term + 1] - begin[term]
+            # chunks at once: as many as have a table of scores and pairs of term and query of a fixed size
+            ends = np.r_[0, np.cumsum(each)]
+            total = np.r_[0, np.cumsum(times)][ends] + np.arange(len(ends)) * n_queries
+            lo = 0
+            while lo < len(each):
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+                a, b = ends[lo], ends[hi]
+                t = times[a:b]
+                within = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+                cell = np.repeat(row[a:b] - lo, t) * n_queries + by_term[np.repeat(begin[term[a:b]], t) + within]
+                score = np.bincount(cell, np.repeat(value[a:b], t), minlength=(hi - lo) * n_queries).reshape(hi - lo, n_queries)
+                hits = np.bincount(cell, minlength=(hi - lo) * n_queries).reshape(hi - lo, n_queries)
+                key = -np.floor(score * 1e6 + 0.5).astype(np.int64)
+                at, query = np.nonzero(((hits == n_terms) if match_all else (hits > 0)) & (key <= best.bound))
+                best.offer(query, ids[lo + at], key[at, query])
+                lo = hi
+        query, ids, key = best.found()
+        if len(query):
+            asked = pa.array(names, type=arrow).take(pa.array(query))
+            yield pa.RecordBatch.from_arrays([asked, pa.array(ids.tolist(), type=kind_of), pa.array(-key / 1e6)], names=["query_id", "chunk_id", "score"])
+
+    schema = T.StructType([T.StructField("query_id", kind_of_query), T.StructField("chunk_id", found.table.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    return top_k(found.table.select("chunk_id", "len", kind, f"{kind}_tf").mapInArrow(run, schema), k)
+
+
+def bm25(
+    chunks: DataFrame, queries: DataFrame, k: int = 50, match_all: bool = False, stemmed: bool = False, kept: Inverted | None = None, found: Counted | None = None
+) -> DataFrame:
     """(query_id, chunk_id, score, rank): BM25 of the query's terms; with match_all only chunks that have them all.
 
-    With a kept index, which is of stems, chunks aren't read.
+    With a kept index, which is of stems, chunks aren't read. found: the batch's terms, if they have been counted.
     """
+    found = found or (counted(chunks, queries, stemmed) if kept is None else None)
+    if found is not None:
+        return _best(found, queries, k, "exact", match_all)
     terms = query_terms(queries, stemmed or kept is not None)
     wanted = terms.select("term").distinct()
     if kept is not None:
@@ -138,12 +291,16 @@ def _few(table: DataFrame, limit: int = 100_000) -> bool:
     return table.limit(limit + 1).count() <= limit
 
 
-def prefix_search(chunks: DataFrame, queries: DataFrame, k: int = 50, stemmed: bool = False, kept: Inverted | None = None) -> DataFrame:
+def prefix_search(chunks: DataFrame, queries: DataFrame, k: int = 50, stemmed: bool = False, kept: Inverted | None = None, found: Counted | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks that for every word of the query have a term which begins with it.
 
     A prefix counts as one term: its frequency is that of all terms it begins, and so is its document frequency. With
     stemmed, terms and prefixes are folded and stemmed. With a kept index, which is of stems, chunks aren't read.
+    found: the batch's prefixes, if they have been counted.
     """
+    found = found or (counted(chunks, queries, stemmed, ("prefix",)) if kept is None else None)
+    if found is not None:
+        return _best(found, queries, k, "prefix", True)
     prefixes = query_terms(queries, stemmed or kept is not None).withColumnRenamed("term", "prefix")
     if kept is not None:
         lengths = kept.lengths

@@ -30,6 +30,8 @@ def rrf(ranked: DataFrame, weights: DataFrame | None = None, k: int = 60) -> Dat
     weights: (source, weight), or (query_id, source, weight); a source without one weighs 0, but its documents stay.
     Without weights all sources of a query weigh the same.
     """
+    # lists are unions, of which Spark 4.1 may wrongly take rows of a query to be in one place
+    ranked = ranked.repartition("query_id")
     if weights is None:
         n = ranked.groupBy("query_id").agg(F.count_distinct("source").alias("n"))
         weighted = ranked.join(n, "query_id").withColumn("weight", 1 / F.col("n"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
 from typing import Protocol
 
@@ -32,6 +34,12 @@ class LanguageModel(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+@functools.lru_cache(maxsize=30_000)
+def _features(word: str, dim: int) -> list[tuple[int, float]]:
+    hashes = [(zlib.crc32(feature.encode()), weight) for feature, weight in ((word, 1.0), (word[:4], 0.5))]
+    return [(h % dim, weight if h >> 31 else -weight) for h, weight in hashes]
+
+
 class HashEmbedder:
     """Signed feature hashing of words and of their first letters; equal texts get equal vectors in every process."""
 
@@ -44,11 +52,11 @@ class HashEmbedder:
         @pandas_udf("array<float>")
         def run(texts: pd.Series) -> pd.Series:
             def one(t: str | None) -> np.ndarray:
-                v = np.zeros(dim, dtype=np.float32)
-                for w in re.findall(r"[^\W_]+", (t or "").lower()):
-                    for feature, weight in ((w, 1.0), (w[:4], 0.5)):
-                        h = zlib.crc32(feature.encode())
-                        v[h % dim] += weight if h >> 31 else -weight
+                sums = [0.0] * dim
+                for w, times in Counter(re.findall(r"[^\W_]+", (t or "").lower())).items():
+                    for place, weight in _features(w, dim):
+                        sums[place] += times * weight
+                v = np.array(sums, dtype=np.float32)
                 n = float(np.linalg.norm(v))
                 return v / n if n else v
 

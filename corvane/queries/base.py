@@ -6,6 +6,7 @@ A relation stands for a table of the engine (chunks, symbols, refs, files, ...)
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,7 +82,15 @@ def query(sql: str | None = None, relations: tuple[str, ...] = ()):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         if f.__name__ in REGISTRY:
             raise ValueError(f"{f.__name__} is registered twice")
-        REGISTRY[f.__name__] = f
+
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Spark 4.1 plans a union of equally partitioned lists as partitioned, and adaptive execution may then coalesce
+            # one of them only: groups come out twice, or the union fails
+            spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+            return f(spark, sf_dir)
+
+        REGISTRY[f.__name__] = run
         if sql is not None:
             text = sql.strip()
             with_ = ctes(*relations) if relations else ""

@@ -85,7 +85,7 @@ def hybrid_search(spark, sf_dir):
     v = relation(spark, sf_dir, "vectors")
     text = fulltext.bm25(relation(spark, sf_dir, "chunks"), queries).select("query_id", F.lit("exact").alias("source"), F.col("chunk_id").alias("doc_id"), "score", "rank")
     asked = queries.join(v, queries["query_id"] == v["id"]).select("query_id", "embedding")
-    near = vectors.cosine_topk(v, asked).select("query_id", F.lit("vector").alias("source"), F.col("id").alias("doc_id"), "score", "rank")
+    near = vectors.batch_topk(v, asked, 50, "cosine").select("query_id", F.lit("vector").alias("source"), F.col("id").alias("doc_id"), "score", "rank")
     fused = fusion.rrf(text.unionByName(near))
     gone = relation(spark, sf_dir, "tombstones").select(F.col("chunk_id").alias("doc_id"))
     return fusion.top(fusion.tombstone_filter(fused, gone), 10).select("query_id", "doc_id", "score", "rank")
