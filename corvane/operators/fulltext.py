@@ -169,7 +169,7 @@ def counted(chunks: DataFrame, queries: DataFrame, stemmed: bool = False, kinds:
             bytes_ = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy().astype(np.int64))]
             hi = 0
             while hi < whole.num_rows:
-                lo, hi = hi, max(hi + 1, int(np.searchsorted(bytes_, bytes_[hi] + 2_000_000, side="right")) - 1)
+                lo, hi = hi, max(hi + 1, int(np.searchsorted(bytes_, bytes_[hi] + 1_000_000, side="right")) - 1)
                 batch = whole.slice(lo, hi - lo)
                 # what lies between words() of a lower-cased text; its ends may be empty
                 listed = pc.split_pattern_regex(batch.column("text"), r"[^\p{L}\p{N}]+")
@@ -219,7 +219,7 @@ def _best(found: Counted, queries: DataFrame, k: int, kind: str, match_all: bool
     df = found.df[kind]
     weight = np.maximum(np.log((found.n_docs - df + 0.5) / (df + 0.5)), 1e-6)
     avgdl, kind_of_query = found.avgdl, queries.schema["query_id"].dataType
-    names, arrow, most = [q for q, _ in found.asked], to_arrow_type(kind_of_query), 4_000_000
+    names, arrow, most = [q for q, _ in found.asked], to_arrow_type(kind_of_query), 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, kind_of = Best(n_queries, k), None
